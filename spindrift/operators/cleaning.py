@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # The interaction types an event may carry.
-EVENT_TYPES = ("view", "like", "dislike", "share", "comment", "rating", "skip")
+EVENT_TYPES = ("view", "rating", "like", "share", "purchase", "download", "bookmark")
 # Characters kept in content text; everything else is dropped.
 TEXT_KEEP = r"[^a-zA-Z0-9\s\-,.]"
 

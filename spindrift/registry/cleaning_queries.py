@@ -9,8 +9,6 @@ from ..operators import cleaning
 from ..sources import tables
 from .base import query
 
-ORDER_TYPES = {"1-URGENT": "view", "2-HIGH": "like", "3-MEDIUM": "rating", "4-NOT SPECIFIED": "share"}
-
 
 def clean(spark, sf):
     return cleaning.clean_interactions(tables.interactions(spark, sf))
@@ -241,7 +239,7 @@ WITH raw AS (SELECT user_id, CAST(k AS BIGINT) AS item_id,
        CASE WHEN event_type = 'click' THEN 'like' ELSE event_type END AS event_type, value / 20 AS rating, timestamp
   FROM ev)
 SELECT user_id, item_id, event_type, rating, CAST(timestamp AS VARCHAR) AS timestamp,
-       CASE WHEN event_type NOT IN ('view', 'like', 'dislike', 'share', 'comment', 'rating', 'skip') THEN 'unknown type'
+       CASE WHEN event_type NOT IN ('view', 'rating', 'like', 'share', 'purchase', 'download', 'bookmark') THEN 'unknown type'
             WHEN rating NOT BETWEEN 1 AND 5 THEN 'rating out of range' END AS reason
 FROM raw""",
 )

@@ -1 +1,223 @@
-"""Placeholder."""
+"""Factor models, sampling, splits, evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluation, factors, features, neural, ranking, samples, tfidf
+from ..plans import models
+from ..session import cut_lineage, shared_dir
+from ..sources import tables
+from .base import add_view, query
+from .cleaning_queries import clean
+from .experiment_queries import BUCKET
+from .search_queries import item_vectors, ratings
+
+SPLIT = BUCKET.replace("10000", "100").replace("7296", "96").format(u="('42|' || user_id || '|' || item_id)")
+add_view("split", f"SELECT user_id, item_id, rating, {SPLIT} < 20 AS is_test FROM ratings")
+
+
+def split(spark, sf):
+    return samples.train_test_split(ratings(spark, sf))
+
+
+@query("train_test_split", "SELECT user_id, item_id, round(rating, 6) AS rating, is_test FROM split")
+def _(spark, sf):
+    return split(spark, sf)
+
+
+@query(
+    "rating_errors",
+    """
+WITH t AS (SELECT * FROM split WHERE NOT is_test),
+u AS (SELECT user_id, avg(rating) AS m FROM t GROUP BY 1), i AS (SELECT item_id, avg(rating) AS m FROM t GROUP BY 1),
+p AS (SELECT s.rating, u.m + i.m - (SELECT avg(rating) FROM t) AS prediction
+      FROM split s JOIN u ON s.user_id = u.user_id JOIN i ON s.item_id = i.item_id WHERE s.is_test)
+SELECT count(*) AS pairs, round(sqrt(avg((prediction - rating) * (prediction - rating))), 6) AS rmse,
+       round(avg(abs(prediction - rating)), 6) AS mae FROM p""",
+)
+def _(spark, sf):
+    rows = split(spark, sf)
+    return evaluation.rating_errors(
+        evaluation.baseline_predict(rows.filter(~F.col("is_test")), rows.filter("is_test"))
+    )
+
+
+add_view(
+    "top_a",
+    """
+SELECT user_id, item_id, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item_id)
+         AS INTEGER) AS rank FROM list_a QUALIFY rank <= 10""",
+)
+
+
+@query(
+    "catalog_coverage",
+    """
+SELECT round(count(DISTINCT item_id) / (SELECT count(*) FROM part), 6) AS catalog_coverage,
+       count(DISTINCT item_id) AS total_recommended_items, (SELECT count(*) FROM part) AS total_items FROM top_a""",
+)
+def _(spark, sf):
+    total = tables.content(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return evaluation.catalog_coverage(ranking.top_n_per_user(tables.scored_lists(spark, sf)[0], 10), total)
+
+
+@query(
+    "ranking_metrics",
+    """
+WITH h AS (SELECT DISTINCT user_id, item_id FROM list_b WHERE score >= 0.5),
+n AS (SELECT user_id, count(*) AS relevant FROM h GROUP BY 1),
+x AS (SELECT t.user_id, count(*) AS hits, sum(1 / log2(t.rank + 1)) AS dcg
+      FROM top_a t JOIN h ON t.user_id = h.user_id AND t.item_id = h.item_id GROUP BY 1),
+p AS (SELECT coalesce(hits, 0) / 10 AS p, coalesce(hits, 0) / relevant AS r,
+             coalesce(dcg, 0) / list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda i: 1 / log2(i + 1)))
+               AS g FROM n LEFT JOIN x ON n.user_id = x.user_id)
+SELECT count(*) AS users, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall,
+       round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1, round(avg(g), 6) AS ndcg FROM p""",
+)
+def _(spark, sf):
+    first, second = tables.scored_lists(spark, sf)
+    return evaluation.ranking_metrics(ranking.top_n_per_user(first, 10), second.filter("score >= 0.5"), 10)
+
+
+@query(
+    "binary_metrics",
+    """
+WITH s AS (SELECT score, CASE WHEN item_id % 3 = 0 OR score > 0.7 THEN 1 ELSE 0 END AS label FROM list_a),
+r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM s),
+a AS (SELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2)
+             / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS auc FROM r)
+SELECT round(count(*) FILTER ((score >= 0.5) = (label = 1)) / count(*), 6) AS accuracy,
+       round(count(*) FILTER (score >= 0.5 AND label = 1) / count(*) FILTER (score >= 0.5), 6) AS precision,
+       round(count(*) FILTER (score >= 0.5 AND label = 1) / count(*) FILTER (label = 1), 6) AS recall,
+       (SELECT round(auc, 6) FROM a) AS auc FROM s""",
+)
+def _(spark, sf):
+    label = F.when((F.col("item_id") % 3 == 0) | (F.col("score") > 0.7), 1).otherwise(0)
+    return evaluation.binary_metrics(tables.scored_lists(spark, sf)[0].select("score", label.alias("label")))
+
+
+MOD_P = """((((((('0x' || substr(md5({u}), 1, 8))::BIGINT % {m}) * (4294967296 % {m})
+  + ('0x' || substr(md5({u}), 9, 8))::BIGINT) % {m}) * (4294967296 % {m})
+  + ('0x' || substr(md5({u}), 17, 8))::BIGINT) % {m}) * (4294967296 % {m})
+  + ('0x' || substr(md5({u}), 25, 8))::BIGINT) % {m}"""
+add_view(
+    "prime",
+    """
+SELECT n, p FROM (SELECT count(*) AS n FROM part) c, LATERAL (
+  SELECT min(t.q) AS p FROM (SELECT unnest(range(n, n + 1000)) AS q) t
+  WHERE NOT EXISTS (SELECT 1 FROM range(2, 20000) d(f) WHERE f * f <= t.q AND t.q % f = 0)) x""",
+)
+add_view(
+    "negatives",
+    f"""
+SELECT user_id, item_id FROM (
+  SELECT w.user_id, i.item_id, w.wanted, row_number() OVER (PARTITION BY w.user_id ORDER BY w.j) AS rn FROM (
+    SELECT user_id, 4 * np AS wanted, j, (a * j + b) % p AS item_index FROM (
+      SELECT c.user_id, c.np, p, n, 1 + {MOD_P.format(u="('42a' || c.user_id)", m="(p - 1)")} AS a,
+             {MOD_P.format(u="('42b' || c.user_id)", m="p")} AS b, unnest(range(0, least(5 * np + p - n, p))) AS j
+      FROM (SELECT user_id, count(*) AS np FROM ratings GROUP BY user_id) c, prime)) w
+  JOIN (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS item_index FROM part) i
+    ON w.item_index = i.item_index
+  WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = w.user_id AND r.item_id = i.item_id))
+WHERE rn <= wanted""",
+)
+
+
+@query("negative_samples", "SELECT user_id, item_id, CAST(0 AS INTEGER) AS label FROM negatives")
+def _(spark, sf):
+    return samples.negative_samples(ratings(spark, sf), tables.content(spark, sf))
+
+
+@query(
+    "ncf_samples",
+    f"""
+WITH s AS (SELECT user_id, item_id, 1 AS label FROM ratings UNION ALL SELECT user_id, item_id, 0 FROM negatives)
+SELECT {SPLIT} < 20 AS is_test, count(*) AS samples, round(avg(label), 6) AS positive_ratio FROM s GROUP BY 1""",
+)
+def _(spark, sf):
+    return samples.positive_ratio(samples.labelled_samples(ratings(spark, sf), tables.content(spark, sf)))
+
+
+def svd(spark, sf):
+    return factors.svd_train(ratings(spark, sf))
+
+
+@query("svd_train")
+def _(spark, sf):
+    """Item factors with the singular values of the model."""
+    model = svd(spark, sf)
+    return model.items.select("id", F.size("val").alias("rank"), F.lit(model.explained_variance).alias("explained"))
+
+
+@query("collaborative_recs")
+def _(spark, sf):
+    return factors.factor_recs(svd(spark, sf), ratings(spark, sf))
+
+
+@query("als_train")
+def _(spark, sf):
+    model = factors.als_train(ratings(spark, sf))
+    return model.users.select("id", F.size("val").alias("rank"))
+
+
+@query("score_all_pairs")
+def _(spark, sf):
+    """Best ten of all users x all items by ALS factors, seen items included."""
+    return factors.factor_recs(factors.als_train(ratings(spark, sf)), None)
+
+
+@query("hybrid_recs_models")
+def _(spark, sf):
+    """The blend over the two trained models instead of given lists."""
+    rated = ratings(spark, sf)
+    collaborative = factors.factor_recs(svd(spark, sf), rated, 20)
+    return ranking.hybrid_recs(collaborative, tfidf.content_recs(rated, item_vectors(spark, sf), 20))
+
+
+@query("factor_lookup")
+def _(spark, sf):
+    model = factors.als_train(ratings(spark, sf))
+    wanted = tables.users(spark, sf).filter("is_premium").select("user_id")
+    return factors.factor_lookup(model.users, wanted, "user_id").select("id", F.size("val").alias("rank"))
+
+
+@query("save_load_model")
+def _(spark, sf):
+    import uuid
+
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(factors.als_train(ratings(spark, sf)), path, rank=10)
+    loaded, config = models.load_model(spark, path)
+    return loaded.items.select("id", F.size("val").alias("length"), F.lit(config["rank"]).alias("rank"))
+
+
+@query("neural_scorer")
+def _(spark, sf):
+    rated = ratings(spark, sf)
+    model = factors.als_train(rated, rank=8, implicit=True)
+    rows = cut_lineage(samples.labelled_samples(rated, tables.content(spark, sf)))
+    network = neural.train_scorer(rows, model, rank=8)
+    return evaluation.binary_metrics(neural.score_pairs(network, rows.filter("is_test"), model))
+
+
+@query("training_run")
+def _(spark, sf):
+    content = tables.content(spark, sf, with_text=True)
+    return models.run_training(clean(spark, sf), content)[1]
+
+
+@query("lightgcn_propagate")
+def _(spark, sf):
+    """Two propagation layers from hash-based start vectors of eight columns."""
+
+    def start(df, key):
+        columns = [
+            (F.pmod(F.xxhash64(F.col(key), F.lit(j)), F.lit(1000)) / 500 - 1).alias(f"v{j}") for j in range(8)
+        ]
+        return df.select(key, *columns)
+
+    edges = clean(spark, sf)
+    users = start(edges.select("user_id").distinct(), "user_id")
+    items = start(edges.select("item_id").distinct(), "item_id")
+    return factors.lightgcn_propagate(edges, users, items)[0]

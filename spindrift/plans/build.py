@@ -32,8 +32,14 @@ def build_features(
     }
 
 
-def run_build(spark: SparkSession, paths: Mapping[str, str], out: str, **options: int) -> dict[str, DataFrame]:
-    """Ingest, build, save. ``paths`` must name readable interactions and content."""
+def run_build(
+    spark: SparkSession, paths: Mapping[str, str], out: str, partition_by: str = "rating_date", **options: int
+) -> dict[str, DataFrame]:
+    """Ingest, build, save. ``paths`` must name readable interactions and content.
+
+    ``partition_by`` is rating_date, or rating_month where days are too small to
+    be worth a directory.
+    """
     raw = readers.ingest(spark, paths)
     missing = {"interactions", "content"} - set(raw)
     if missing:
@@ -43,7 +49,8 @@ def run_build(spark: SparkSession, paths: Mapping[str, str], out: str, **options
         raw["content"].drop("ingestion_timestamp", "source_file"),
         **options,
     )
-    sinks.write_processed(tables, out, {"interactions": "rating_date"})
+    tables["interactions"] = tables["interactions"].withColumn("rating_month", F.date_format("rating_date", "yyyy-MM"))
+    sinks.write_processed(tables, out, {"interactions": partition_by})
     return tables
 
 

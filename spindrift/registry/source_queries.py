@@ -295,5 +295,5 @@ def _(spark, sf):
     items = tables.content(spark, sf, with_text=True).select("item_id", "title", "description", "genre", "tags")
     items.write.parquet(f"{root}/content.parquet")
     paths = {"interactions": f"{root}/interactions.parquet", "content": f"{root}/content.parquet"}
-    built = build.run_build(spark, paths, f"{root}/out", min_interactions=30, trending_days=90)
+    built = build.run_build(spark, paths, f"{root}/out", "rating_month", min_interactions=30, trending_days=90)
     return build.summary({name: spark.read.parquet(f"{root}/out/{name}") for name in built})

@@ -9,19 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import STOP_WORDS, tokens
+from ..session import spread_few_files
 from .ranking import SCORE_DIGITS
 
 
-def postings(docs: DataFrame, key: str, text: str, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """Inverted table (key, length, term, tf) over whole texts; length counts all kept tokens."""
-    words = docs.select(key, tokens(F.col(text), stop_words).alias("w"))
-    return (
-        words.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-        .groupBy(key, "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-
-
 def text_search(
     docs: DataFrame,
     queries: DataFrame,
@@ -42,7 +33,7 @@ def text_search(
     left to Spark: a small query batch becomes a broadcast, and AQE splits a
     term shared by much of the corpus.
     """
-    words = docs.select(key, tokens(F.col(text), stop_words).alias("w"))
+    words = spread_few_files(docs.select(key, text), key).select(key, tokens(F.col(text), stop_words).alias("w"))
     wanted = queries.select(
         query_key, F.explode(F.array_distinct(tokens(F.col(query_text), stop_words))).alias("term")
     )
@@ -108,5 +99,6 @@ def suggest(items: DataFrame, title: str = "title", n: int = 5, longest: int = 1
 
 def autocomplete(docs: DataFrame, text: str = "text", n: int = 5, longest: int = 6) -> DataFrame:
     """Most frequent completions of every term prefix of the corpus."""
-    terms = docs.select(F.explode(tokens(F.col(text), ())).alias("v"))
+    texts = spread_few_files(docs.select(text), text)
+    terms = texts.select(F.explode(tokens(F.col(text), ())).alias("v"))
     return prefix_table(terms, "v", longest, n, shortest=2)

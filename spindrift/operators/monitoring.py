@@ -117,8 +117,10 @@ def exact_percentile(df: DataFrame, column: str, q: float, accuracy: int = 100_0
     """Exact, interpolated percentile as a scalar subquery, without one task holding all values.
 
     Two sketches with known rank error bracket the wanted ranks. Only values in
-    the bracket, about 4/accuracy of the rows, are counted exactly, and their
-    histogram (one row per distinct value) is summed up in one place.
+    the bracket and its two neighbours, about 4/accuracy of the rows, are counted
+    exactly, and their histogram (one row per distinct value) is summed up in one
+    place. The neighbours cover the half rank between the sketch's ranks and the
+    interpolated ones.
     """
     v = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     slack = 2.0 / accuracy
@@ -129,7 +131,14 @@ def exact_percentile(df: DataFrame, column: str, q: float, accuracy: int = 100_0
             F.count(F.lit(1)).alias("n"),
         )
     ).scalar()
-    low, high = bounds["lo"], bounds["hi"]
+    value = F.col("v")
+    edges = v.agg(
+        F.struct(
+            F.coalesce(F.max(F.when(value < bounds["lo"], value)), bounds["lo"]).alias("lo"),
+            F.coalesce(F.min(F.when(value > bounds["hi"], value)), bounds["hi"]).alias("hi"),
+        )
+    ).scalar()
+    low, high = edges["lo"], edges["hi"]
     below = v.filter(F.col("v") < low).agg(F.count(F.lit(1))).scalar()
     histogram = v.filter((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     running = histogram.select(

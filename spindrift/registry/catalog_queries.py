@@ -9,7 +9,10 @@ from ..sources import tables
 from .base import add_view, query
 from .cleaning_queries import FILTER_SQL, FILTERS
 
-AS_OF = F.lit("2001-08-01").cast("date")
+
+def as_of():
+    return F.lit("2001-08-01").cast("date")
+
 
 FACET_SQL = """
 WITH f AS (SELECT * FROM items WHERE {where}),
@@ -74,22 +77,22 @@ MIXED_SQL = f"0.4 * ({TRENDING_SQL}) + 0.3 * popularity + 0.3 * ({RECENT_SQL})"
 
 @query("discover_trending", f"SELECT item_id, round({TRENDING_SQL}, 6) AS score FROM items")
 def _(spark, sf):
-    return tables.content(spark, sf).select("item_id", discovery.mode_score("trending", AS_OF).alias("score"))
+    return tables.content(spark, sf).select("item_id", discovery.mode_score("trending", as_of()).alias("score"))
 
 
 @query("discover_popular", "SELECT item_id, round(popularity, 6) AS score FROM items")
 def _(spark, sf):
-    return tables.content(spark, sf).select("item_id", discovery.mode_score("popular", AS_OF).alias("score"))
+    return tables.content(spark, sf).select("item_id", discovery.mode_score("popular", as_of()).alias("score"))
 
 
 @query("discover_recent", f"SELECT item_id, round(CAST({RECENT_SQL} AS DOUBLE), 6) AS score FROM items")
 def _(spark, sf):
-    return tables.content(spark, sf).select("item_id", discovery.mode_score("recent", AS_OF).alias("score"))
+    return tables.content(spark, sf).select("item_id", discovery.mode_score("recent", as_of()).alias("score"))
 
 
 @query("discover_mixed", f"SELECT item_id, round({MIXED_SQL}, 6) AS score FROM items")
 def _(spark, sf):
-    return tables.content(spark, sf).select("item_id", discovery.mode_score("mixed", AS_OF).alias("score"))
+    return tables.content(spark, sf).select("item_id", discovery.mode_score("mixed", as_of()).alias("score"))
 
 
 @query(
@@ -130,7 +133,7 @@ SELECT item_id, title, genre, popularity, round({MIXED_SQL}, 6) AS discovery_sco
 FROM items WHERE {FILTER_SQL} ORDER BY popularity DESC, item_id LIMIT 20 OFFSET 20""",
 )
 def _(spark, sf):
-    page = discovery.discover(tables.content(spark, sf), AS_OF, FILTERS, limit=20, offset=20)
+    page = discovery.discover(tables.content(spark, sf), as_of(), FILTERS, limit=20, offset=20)
     return page.select("item_id", "title", "genre", "popularity", "discovery_score", "total")
 
 

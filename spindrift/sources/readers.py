@@ -57,7 +57,8 @@ def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | None =
     if suffix == "parquet":
         return reader.parquet(path)
     if suffix == "csv":
-        return reader.option("header", True).csv(path) if schema else reader.csv(path, header=True, inferSchema=True)
+        reader = reader.option("header", True).option("escape", '"')
+        return reader.csv(path) if schema else reader.option("inferSchema", True).csv(path)
     if suffix == "json":
         return reader.json(path)
     raise ValueError(f"unsupported file format: {path}")

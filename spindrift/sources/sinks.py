@@ -29,7 +29,7 @@ def write_single(df: DataFrame, path: str) -> None:
     if path.endswith(".parquet"):
         df.write.mode("overwrite").parquet(path)
     elif path.endswith(".csv"):
-        df.write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
         raise ValueError(f"unsupported file format: {path}")
 

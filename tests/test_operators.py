@@ -72,7 +72,7 @@ def test_dot_topn_matches_numpy(spark, block_rows):
     right = vectors.dense(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)], "i int, v array<double>"), "i", "v")
     banned = {(0, int(np.argmax(a[0] @ b.T))), (5, 2)}
     exclude = spark.createDataFrame(list(banned), "left_id int, right_id int")
-    got = vectors.dot_topn(left, right, 4, exclude=exclude, threshold=0.0, block_rows=block_rows).collect()
+    got = vectors.dot_topn(left, right, 4, exclude=exclude, threshold=0.0, left_rows=block_rows, right_rows=block_rows).collect()
     scores = np.round(a @ b.T, 6)
     want = set()
     for i in range(len(a)):

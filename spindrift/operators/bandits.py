@@ -90,13 +90,14 @@ def position_debias(log: DataFrame) -> DataFrame:
     """Relevance per item: mean of click / P(examine | position).
 
     Examination is the click rate of the position relative to the best one. The
-    position table has one row per list place.
+    position table has one row per list place, so it is broadcast; a shuffle on
+    so few keys would not spread.
     """
     ctr = log.groupBy("position").agg(F.avg("clicked").alias("ctr"))
     best = ctr.agg(F.max("ctr")).scalar()
     examined = ctr.select("position", (F.col("ctr") / best).alias("examine"))
     return (
-        log.join(examined, "position")
+        log.join(F.broadcast(examined), "position")
         .groupBy("item_id")
         .agg(F.count(F.lit(1)).alias("impressions"), F.avg(F.try_divide("clicked", "examine")).alias("relevance"))
     )

@@ -7,7 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 # The interaction types an event may carry.
 EVENT_TYPES = ("view", "rating", "like", "share", "purchase", "download", "bookmark")
@@ -216,12 +215,6 @@ def canonical_recommendations(df: DataFrame) -> DataFrame:
     )
 
 
-def last_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Keep the first row per key in ``order``; Spark prunes each group before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
 INSIGHT_SCHEMA = T.StructType(
     [
         T.StructField("summary", T.StringType()),

@@ -18,7 +18,6 @@ def load_all() -> tuple[dict, dict]:
         search_queries,
         source_queries,
         stream_queries,
-        vector_queries,
     )
 
     return QUERIES, ORACLES

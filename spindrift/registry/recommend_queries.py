@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, factors, features, neural, ranking, samples, tfidf
+from ..operators import evaluation, factors, neural, ranking, samples, tfidf
 from ..plans import models
 from ..session import cut_lineage, shared_dir
 from ..sources import tables

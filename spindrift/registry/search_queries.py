@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, combined_text
-from ..operators import features, ranking, search, similarity, tfidf, vectors
+from ..operators import features, search, similarity, tfidf, vectors
 from ..sources import tables
 from .base import add_view, query
 from .cleaning_queries import clean

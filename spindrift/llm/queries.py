@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import anchors, simhash, suffixes, tokens
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents without 20-word runs that start earlier."""
+    found = anchors.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents without 50-byte strings of earlier documents."""
+    found = suffixes.remove_repeated_bytes(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and the texts decoded from them."""
+    found = tokens.decode(tokens.encode(_read(spark, sf_dir, "documents"), BPE), BPE)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -19,6 +45,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_substring_anchors": op5_substring_anchors,
+    "op6_suffix_array": op6_suffix_array,
+    "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
 }
 

@@ -4,19 +4,59 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm import simhash
+from spindrift.llm import anchors, packing, pii, quality, simhash
 from spindrift.session import shared_dir
 
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or that the forest finds anomalous go; see ``quality.judge`` for edge rows."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays; see ``simhash.keep_one`` for edge rows."""
     return simhash.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of 20 words that start earlier are cut out of the texts; texts without any stay as they are, nulls too.
+
+    All rows stay, also those whose text becomes empty. n_chars is that of the new text.
+    """
+    cut = anchors.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return _with_text(cut.withColumn("text", text), docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes its kind in brackets; all rows stay. n_chars is that of the new text."""
+    return _with_text(pii.redact(docs), docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All texts as pieces of sequences of 1,024 ids."""
+    return packing.pack(docs, BPE)
+
+
+def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, n_chars counted anew where it was known."""
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return changed.select(*[pii.clean_name(c) for c in docs.columns])
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("simhash_near_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("pii", personal_data),
+    ("packing", packed),
 ]
 
 #: SQL has no XXH64 with a seed, no byte-level tokenizer and no forest, so the pipeline is tested in Python.

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .buffers import covered, slices, span_hashes, sums, text_bytes, window_hashes, window_rows, word_spans
-from .graph import by_group, spread, with_replies
-from .packed import QUESTION, REPLY, answer, document_keys, flags_for, in_order, in_several, pack, replies_of, slotted, unpack_all, unslotted
+from .graph import bucket_count, by_group, with_replies
+from .packed import QUESTION, REPLY, answer, document_keys, flags_for, in_order, in_several, pack, replies_of, slotted, unpack_all, unslotted, with_made
 
 PERIOD = 13
 
@@ -140,11 +140,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not 0 < period <= window:
         raise ValueError("the period must lie between 1 and the window")
     rows = slotted(docs, doc_id, text)
-    buckets, cover = spread(docs), difference_cover(period)
+    buckets, cover = bucket_count(docs), difference_cover(period)
     how = (buckets, window, period, cover)
     shared = by_group(by_group(rows, "slot", lambda t: _ask_anchors(t, *how), QUESTION), "bucket", lambda t: in_several(t, 1), REPLY)
     asked = with_replies(rows, shared, lambda t, r: _ask_windows(t, r, *how), QUESTION)
     repeated = by_group(asked, "bucket", _earliest, REPLY)
-    kind = rows.schema["rest"].dataType.simpleString()
-    result = with_replies(rows, shared.union(repeated), lambda t, r: _remove(t, r, *how), f"doc_id long, text string, rest {kind}, n_words long, n_removed long, kept_text string")
+    result = with_replies(rows, shared.union(repeated), lambda t, r: _remove(t, r, *how), with_made(rows, "n_words long, n_removed long, kept_text string"))
     return unslotted(result, docs, doc_id, text, "n_words", "n_removed", "kept_text")

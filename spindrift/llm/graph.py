@@ -8,21 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spindrift.session import cut_lineage
 
-#: Slots and buckets for each shuffle partition, so that uneven hashing of their numbers averages out.
-SPREAD = 4
 
+def bucket_count(df: DataFrame) -> int:
+    """How many hash buckets to deal to: one for each shuffle partition of the session.
 
-def spread(df: DataFrame) -> int:
-    """How many slots or buckets to deal rows to: follows the session's shuffle partitions."""
-    return SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def in_slots(df: DataFrame, *keys: str) -> DataFrame:
-    """Add ``slot``, a hash of the keys. Each slot is a bounded share of the rows, handled as one group."""
-    return df.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(spread(df))).cast("int"))
+    Slots and buckets follow the partitions that the cluster is set up for, so their size stays bounded as the input
+    grows, and a slot sends at most one row to a bucket.
+    """
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bucket_cuts(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +34,7 @@ def by_group(df: DataFrame, key: str, work: Callable[[pa.Table], pa.Table], sche
     return df.groupBy(key).applyInArrow(lambda _key, table: work(table), schema)
 
 
-def with_replies(df: DataFrame, replies: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def with_replies(df: DataFrame, replies: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """Apply ``work`` to the rows of each slot together with the packed replies for that slot."""
     return df.groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(work, schema)
 

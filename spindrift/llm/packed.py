@@ -13,8 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .graph import bucket_cuts, spread
+from .graph import bucket_count, bucket_cuts
+
+#: Slots for each bucket: small groups, dealt evenly.
+SLOTS = 2
 
 LATE = np.iinfo(np.int64).max
 
@@ -32,10 +36,16 @@ def slotted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     core = {"doc_id": F.col(f"_c{names.index(doc_id)}").cast("long"), "text": F.col(f"_c{names.index(text)}")}
     rest = F.struct(*[F.col(f"_c{i}") for i in other]) if other else F.lit(None).cast("int")
     turn = F.when(core["doc_id"].isNull(), F.xxhash64(core["text"])).otherwise(F.lit(0))
-    slot = F.pmod(F.xxhash64(F.coalesce(core["doc_id"], turn)), F.lit(spread(docs))).cast("int")
+    slot = F.pmod(F.xxhash64(F.coalesce(core["doc_id"], turn)), F.lit(SLOTS * bucket_count(docs))).cast("int")
     return plain.select(slot.alias("slot"), core["doc_id"].alias("doc_id"), core["text"].alias("text"), turn.alias("turn"), rest.alias("rest"))
 
 
+def with_made(rows: DataFrame, made: str) -> StructType:
+    """The schema of a last pass: what it hands back of the slotted rows, and the columns that it makes."""
+    kept = [StructField(c, rows.schema[c].dataType) for c in ("doc_id", "text", "rest")]
+    return StructType(kept + StructType.fromDDL(made).fields)
+
+
 def unslotted(result: DataFrame, docs: DataFrame, doc_id: str, text: str, *made: str) -> DataFrame:
     """Undo :func:`slotted`: the columns of ``docs`` as they were, then those that the passes made."""
     names = docs.columns

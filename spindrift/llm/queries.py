@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, simhash, suffixes, tokens
+from . import anchors, chat, itq, licenses, packing, pii, quality, simhash, suffixes, tokens
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -15,6 +15,43 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says control strings, formatted and read back."""
+    text = "</s>[INST] ok [/INST]"
+    said = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = chat.turns_of(_read(spark, sf_dir, "conversations")).union(chat.turns_of(said))
+    return chat.read_back(chat.format_conversations(turns))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and fuzzy notices of all documents."""
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    words, labels = F.col("base.word"), F.col("base.label")
+    best = F.array_max(F.transform("found", lambda m: 1 - m["edits"] / m["chars"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(labels, F.col("found.label"))), ",").alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
+def op3_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels."""
+    return itq.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
+    found = pii.find_spans(_read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op5_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents without 20-word runs that start earlier."""
     found = anchors.remove_repeats(_read(spark, sf_dir, "documents"))
@@ -44,12 +81,110 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 ids."""
+    return packing.pack(_read(spark, sf_dir, "documents"), BPE)
+
+
+def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdicts of all documents."""
+    found = quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "score")
+
+
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_license_scan": op2_license_scan,
+    "op3_itq_near_dedup": op3_itq_near_dedup,
+    "op4_contextual_pii": op4_contextual_pii,
     "op5_substring_anchors": op5_substring_anchors,
     "op6_suffix_array": op6_suffix_array,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_packing": op9_packing,
+    "op10_quality_forest": op10_quality_forest,
 }
 
-#: DuckDB SQL where it can state the result.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where it can state the result. Fuzzy patterns, seeded XXH64, byte-level merges, the bootstrap, column
+#: generation and the forest have none; those queries are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op1_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), e AS (
+            SELECT *, regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g') AS escaped FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(17 + length(role) + length(escaped)) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op3_itq_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), ok AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM v
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+        ), c AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), n AS (
+            SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a
+        )
+        SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op5_substring_anchors": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), k AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS place
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + j AS p FROM k, (SELECT unnest(range(0, 20)) AS j) WHERE place > 1
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+        ), kept AS (
+            SELECT w.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS text
+            FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY w.doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op6_suffix_array": """
+        WITH d AS (
+            SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents
+        ), h AS (
+            SELECT doc_id, hex(body) AS x, octet_length(body) AS n FROM d
+        ), p AS (
+            SELECT doc_id, at, substr(x, 2 * at + 1, 1122) AS y FROM (SELECT doc_id, x, unnest(range(0, n, 512)) AS at FROM h)
+        ), s AS (
+            SELECT doc_id, at + i AS i, md5_number(substr(y, 2 * i + 1, 100)) AS k
+            FROM (SELECT *, unnest(range(0, least(512, length(y) // 2 - 49))) AS i FROM p)
+        ), f AS (
+            SELECT k, min(doc_id) AS first FROM s GROUP BY k
+        ), r AS (
+            SELECT doc_id, i FROM s JOIN f USING (k) WHERE doc_id > first
+        ), m AS (
+            SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM r
+        ), g AS (
+            SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m
+        ), spans AS (
+            SELECT doc_id, run, min(i) AS low, max(i) + 50 AS high FROM g GROUP BY doc_id, run
+        ), gaps AS (
+            SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS a, low AS b FROM spans
+            UNION ALL SELECT doc_id, max(high), NULL FROM spans GROUP BY doc_id
+        ), kept AS (
+            SELECT g.doc_id, string_agg(substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (coalesce(b, n) - a) AS BIGINT)), '' ORDER BY a) AS x FROM gaps g JOIN h USING (doc_id) GROUP BY g.doc_id
+        ), counts AS (
+            SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+        )
+        SELECT h.doc_id, h.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(coalesce(kept.x, h.x))) AS kept_sha256
+        FROM h LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from spindrift.session import cut_lineage
 
 from .buffers import mix, slices, take, text_bytes, unsigned, word_spans
-from .graph import bucket_cuts, by_group, components, local_components, spread
+from .graph import bucket_count, bucket_cuts, by_group, components, local_components
 
 #: Candidate pairs verified at once inside a bucket.
 PAIRS = 1 << 20
@@ -150,7 +150,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     ``fps`` has one long column of distinct fingerprints. ``max_bits // 2 + 1`` segments make sure that a pair agrees
     in one segment up to one bit.
     """
-    buckets, segments = spread(fps), max_bits // 2 + 1
+    buckets, segments = bucket_count(fps), max_bits // 2 + 1
     dealt = fps.mapInArrow(lambda batches: _deal(batches, buckets, segments), "bucket int, payload binary")
     return by_group(dealt, "bucket", lambda table: _links(table, max_bits), "a long, b long").distinct()
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .buffers import _BYTE, covered, mix, slices, text_bytes
-from .graph import by_group, spread, with_replies
-from .packed import QUESTION, REPLY, document_keys, flags_for, in_order, in_several, pack, replies_of, slotted, unslotted
+from .graph import bucket_count, by_group, with_replies
+from .packed import QUESTION, REPLY, document_keys, flags_for, in_order, in_several, pack, replies_of, slotted, unslotted, with_made
 
 #: Bytes of a hashed window inside a string; a power of two.
 GRAM = 16
@@ -130,6 +130,8 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, limit: int) -> np.nd
 
 def repeated_starts(segments: list[bytes], ranks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of every string of ``length`` bytes that also starts in a segment of a smaller rank."""
+    if not segments:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = np.array([len(s) for s in segments], np.int64)
     body = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     heads = np.cumsum(sizes + 1) - sizes - 1
@@ -239,7 +241,7 @@ def _ask_keys(table: pa.Table, buckets: int, length: int) -> pa.Table:
 
 
 def _ask_segments(table: pa.Table, replies: pa.Table, buckets: int, length: int) -> pa.Table:
-    """One question for each bucket: documents, sizes and bytes of the slot's distinct segments there."""
+    """One question for each bucket: documents, minimizers, sizes and bytes of the slot's distinct segments there."""
     slot = _Slot(table, length)
     slot.segments(flags_for(slot.asked, buckets, replies_of(replies, 1)))
     doc, turn = document_keys(slot.table)
@@ -247,7 +249,8 @@ def _ask_segments(table: pa.Table, replies: pa.Table, buckets: int, length: int)
     for part in chosen.values():
         rows = slot.row[slot.opener[part]]
         content = [slot.content[i] for i in part.tolist()]
-        data.append(np.int64(len(part)).tobytes() + doc[rows].tobytes() + turn[rows].tobytes() + np.array([len(c) for c in content], np.int32).tobytes() + b"".join(content))
+        keys, sizes = slot.key[slot.opener[part]], np.array([len(c) for c in content], np.int32)
+        data.append(b"".join([np.int64(len(part)).tobytes(), doc[rows].tobytes(), turn[rows].tobytes(), keys.tobytes(), sizes.tobytes(), *content]))
     return pa.table({"slot": pa.array(np.full(len(data), table.column("slot")[0].as_py()), pa.int32()), "bucket": pa.array(list(chosen), pa.int32()), "payload": pa.array(data, pa.binary())})
 
 
@@ -261,18 +264,20 @@ def _by_bucket(slot: _Slot, buckets: int) -> tuple[dict[int, np.ndarray], list[b
     return {int(key[p[0]] // step): p for p in np.split(order, cuts) if len(p)}, []
 
 
-def _read_segments(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _read_segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     n = int(np.frombuffer(data, np.int64, 1)[0])
     doc, turn = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n)
-    ends = np.cumsum(np.frombuffer(data, np.int32, n, 8 + 16 * n)).tolist()
-    base = 8 + 20 * n
-    return doc, turn, [data[base + a : base + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    key = np.frombuffer(data, np.uint64, n, 8 + 16 * n)
+    ends = np.cumsum(np.frombuffer(data, np.int32, n, 8 + 24 * n)).tolist()
+    base = 8 + 28 * n
+    return doc, turn, key, [data[base + a : base + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _repeats(table: pa.Table, length: int) -> pa.Table:
     """Bucket side of the second question: which bytes of each segment repeat an earlier document?
 
-    A segment that an earlier document holds whole is marked so; of the others, each distinct one is sorted once.
+    A segment that an earlier document holds whole is marked so. Of the others, each distinct one is sorted once, unless
+    its minimizer has no second one: then no other segment can share a string with it.
     """
     parts = [_read_segments(x) for x in table.column("payload").to_pylist()]
     doc, turn = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -284,14 +289,19 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
     held: dict[bytes, int] = {}
     content: list[bytes] = []
     number = np.empty(len(doc), np.int64)
-    for i, piece in enumerate(p for part in parts for p in part[2]):
+    for i, piece in enumerate(p for part in parts for p in part[3]):
         n = held.setdefault(piece, len(held))
         if n == len(content):
             content.append(piece)
         number[i] = n
     least = np.full(len(content), np.iinfo(np.int64).max)
     np.minimum.at(least, number, rank)
-    owner, offset = repeated_starts(content, least, length)
+    key = np.empty(len(content), np.uint64)
+    key[number] = np.concatenate([p[2] for p in parts])
+    _, index, times = np.unique(key, return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(times[index] > 1)
+    owner, offset = repeated_starts([content[i] for i in mixed.tolist()], least[mixed], length)
+    owner = mixed[owner]
     order = np.lexsort((offset, owner))
     owner, offset = owner[order], offset[order]
     fresh = np.ones(len(owner), bool)
@@ -366,10 +376,9 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """
     if length < 2 * GRAM:
         raise ValueError(f"strings must have at least {2 * GRAM} bytes")
-    rows, buckets = slotted(docs, doc_id, text), spread(docs)
+    rows, buckets = slotted(docs, doc_id, text), bucket_count(docs)
     shared = by_group(by_group(rows, "slot", lambda t: _ask_keys(t, buckets, length), QUESTION), "bucket", lambda t: in_several(t, 1), REPLY)
     asked = with_replies(rows, shared, lambda t, r: _ask_segments(t, r, buckets, length), QUESTION)
     repeated = by_group(asked, "bucket", lambda t: _repeats(t, length), REPLY)
-    kind = rows.schema["rest"].dataType.simpleString()
-    result = with_replies(rows, shared.union(repeated), lambda t, r: _remove(t, r, buckets, length), f"doc_id long, text string, rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    result = with_replies(rows, shared.union(repeated), lambda t, r: _remove(t, r, buckets, length), with_made(rows, "n_bytes long, n_removed long, n_spans long, kept binary"))
     return unslotted(result, docs, doc_id, text, "n_bytes", "n_removed", "n_spans", "kept")

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 from .cleaning import fill_defaults
 from .ranking import global_top
 
+# The defaults of absent users and items.
 USER_DEFAULTS = {"favorite_genre": "Unknown", "favorite_genre_rating": 0.0, "weekend_preference": 0.0}
 ITEM_DEFAULTS = {
     "total_ratings": 0,
@@ -105,9 +107,9 @@ def user_features(interactions: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def item_stats(df: DataFrame, as_of: str | Column | None = None) -> DataFrame:
-    """Counts, rating spread and age in days per item, relative to ``as_of``."""
+    """Counts, rating spread and age in days per item, relative to ``as_of``; later rows do not count."""
     today = as_of_date(df, as_of)
-    stats = df.groupBy("item_id").agg(
+    stats = df.filter(F.to_date("timestamp") <= today).groupBy("item_id").agg(
         F.count(F.lit(1)).alias("total_ratings"),
         F.count_distinct("user_id").alias("unique_users"),
         F.avg("rating").alias("avg_rating"),
@@ -172,14 +174,8 @@ def interaction_matrix(df: DataFrame) -> DataFrame:
 
 
 def interaction_matrix_wide(df: DataFrame, item_ids: Sequence[int]) -> DataFrame:
-    """The wide form for a given, bounded list of items; absent pairs are 0."""
-    return (
-        df.filter(F.col("item_id").isin(*item_ids))
-        .groupBy("user_id")
-        .pivot("item_id", list(item_ids))
-        .agg(F.avg("rating"))
-        .fillna(0.0)
-    )
+    """The wide form for a given, bounded list of items; absent pairs are 0, and users without any keep a row."""
+    return df.groupBy("user_id").pivot("item_id", list(item_ids)).agg(F.avg("rating")).fillna(0.0)
 
 
 def trending_scores(df: DataFrame) -> DataFrame:
@@ -204,9 +200,10 @@ def trending_scores(df: DataFrame) -> DataFrame:
 def trending_items(
     interactions: DataFrame, days: int = 7, n: int = 100, as_of: str | Column | None = None
 ) -> DataFrame:
-    """Top ``n`` items by trend score over the last ``days`` days before ``as_of``."""
+    """Top ``n`` items by trend score over the last ``days`` days up to ``as_of``."""
     today = as_of_date(interactions, as_of)
-    recent = interactions.filter(F.to_date("timestamp") >= F.date_sub(today, days))
+    day = F.to_date("timestamp")
+    recent = interactions.filter((day >= F.date_sub(today, days)) & (day <= today))
     order = [F.round("trending_score", 6).desc(), F.col("item_id").asc()]
     return global_top(trending_scores(recent), n, order, rank="trending_rank")
 
@@ -214,41 +211,44 @@ def trending_items(
 def trending_with_metadata(trending: DataFrame, content: DataFrame) -> DataFrame:
     """Trending items with title, genre and year; ranks of unknown items leave gaps.
 
-    The trending side is a top-n list (a limit), so broadcasting it is bounded.
+    Spark broadcasts the trending side if its size allows.
     """
     columns = [c for c in ("title", "genre", "year") if c in content.columns]
-    return content.select("item_id", *columns).join(F.broadcast(trending), "item_id")
+    return content.select("item_id", *columns).join(trending, "item_id")
 
 
 def trending_window(
     interactions: DataFrame, hours: int = 24, n: int = 20, where: Column | None = None, as_of: Column | None = None
 ) -> DataFrame:
-    """Trend ranking over the last ``hours`` (1-168) before the latest event, optionally filtered."""
+    """Trend ranking over the last ``hours`` (1-168) up to ``as_of``, the latest event by default, optionally filtered."""
     if not 1 <= hours <= 168:
         raise ValueError("hours must be within 1 and 168")
     if not 1 <= n <= 100:
         raise ValueError("n must be within 1 and 100")
     end = interactions.agg(F.max("timestamp")).scalar() if as_of is None else as_of
-    recent = interactions.filter(F.col("timestamp") > end - F.make_dt_interval(hours=F.lit(hours)))
+    stamp = F.col("timestamp")
+    recent = interactions.filter((stamp > end - F.make_dt_interval(hours=F.lit(hours))) & (stamp <= end))
     if where is not None:
         recent = recent.filter(where)
     order = [F.round("trending_score", 6).desc(), F.col("item_id").asc()]
     return global_top(trending_scores(recent), n, order)
 
 
-def encode_ids(df: DataFrame, key: str, out: str, width: int = 100_000) -> DataFrame:
-    """Dense zero-based ids in key order, without sorting all keys in one task.
+def encode_ids(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Dense zero-based ids in key order, for keys of any sortable type; null keys get none.
 
-    Integer keys fall into ranges of ``width``; only the range sizes (one row per
-    range) are summed in one place, and the id is the range's offset plus the
-    place within the range, which holds at most ``width`` distinct keys.
+    Distinct keys are sorted by range partitions and written once. Only the sizes
+    of the partitions, one row each, are summed in one place; an id is the offset
+    of its partition plus the place in it.
     """
-    keys = df.select(key).distinct().withColumn("_b", F.floor(F.col(key) / width))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct().repartitionByRange(partitions, key)
+    placed = cut_lineage(keys.withColumn("_b", F.spark_partition_id()))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keys.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
+    offsets = placed.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
     return (
-        keys.withColumn("_p", place)
+        placed.withColumn("_p", place)
         .join(offsets, "_b")
         .select(key, (F.col("_o") + F.col("_p")).cast("bigint").alias(out))
     )

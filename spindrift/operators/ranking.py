@@ -200,14 +200,16 @@ def batch_recs(recs: DataFrame, requested: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def diversify(df: DataFrame, n: int = 10, weight: float = 0.3, pool: int = 50) -> DataFrame:
-    """Re-rank each user's best ``pool`` rows, each repeat of a genre losing ``weight``.
+def diversify(df: DataFrame, n: int = 10, weight: float = 0.3) -> DataFrame:
+    """Re-rank all rows of each user, each repeat of a genre losing ``weight``; the best ``n`` stay.
 
-    The pool is a top-k list, so the per-user windows are bounded.
+    A row below place ``n`` of its own genre has ``n`` better ones before it, so
+    only the best ``n`` per (user, genre) go on, which the window prunes in the
+    map tasks.
     """
-    top = top_n_per_user(df, pool).drop("rank")
-    repeat = F.row_number().over(Window.partitionBy("user_id", "genre").orderBy(*by_score())) - 1
-    adjusted = top.withColumn("adjusted", F.col("score") - weight * repeat)
+    place = F.row_number().over(Window.partitionBy("user_id", "genre").orderBy(*by_score()))
+    top = df.withColumn("_place", place).filter(F.col("_place") <= n)
+    adjusted = top.withColumn("adjusted", F.col("score") - weight * (F.col("_place") - 1)).drop("_place")
     return top_n_per_user(adjusted, n, score="adjusted")
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import STOP_WORDS, tokens
-from ..session import spread_few_files
 from .ranking import SCORE_DIGITS
 
 
@@ -33,7 +32,7 @@ def text_search(
     left to Spark: a small query batch becomes a broadcast, and AQE splits a
     term shared by much of the corpus.
     """
-    words = spread_few_files(docs.select(key, text), key).select(key, tokens(F.col(text), stop_words).alias("w"))
+    words = docs.select(key, tokens(F.col(text), stop_words).alias("w"))
     wanted = queries.select(
         query_key, F.explode(F.array_distinct(tokens(F.col(query_text), stop_words))).alias("term")
     )
@@ -74,31 +73,32 @@ def reciprocal_rank_fusion(
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def prefix_table(values: DataFrame, value: str, longest: int, n: int, shortest: int = 1) -> DataFrame:
-    """(prefix, value, count, rank): the ``n`` most frequent values of every prefix up to ``longest`` characters.
+def prefix_table(counted: DataFrame, n: int) -> DataFrame:
+    """Add ``prefix`` and ``rank``: the ``n`` most frequent values of every prefix, of any length.
 
-    Values are counted first, so prefixes fan out from distinct values only.
+    ``counted`` has one row per distinct value, so prefixes fan out from distinct
+    values only, and the window prunes each prefix to ``n`` in the map tasks.
     """
-    counted = values.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    lengths = F.sequence(F.lit(shortest), F.least(F.length("value"), F.lit(longest)))
-    fanned = counted.filter(F.length("value") >= shortest).select(
-        "value", "count", F.explode(F.transform(lengths, lambda i: F.substring("value", 1, i))).alias("prefix")
+    lengths = F.sequence(F.lit(1), F.length("value"))
+    fanned = counted.filter(F.length("value") > 0).withColumn(
+        "prefix", F.explode(F.transform(lengths, lambda i: F.substring("value", 1, i)))
     )
     order = Window.partitionBy("prefix").orderBy(F.desc("count"), F.asc("value"))
     return (
         fanned.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
-        .select("prefix", "value", "count", "rank")
+        .select("prefix", *counted.columns, "rank")
     )
 
 
-def suggest(items: DataFrame, title: str = "title", n: int = 5, longest: int = 10) -> DataFrame:
-    """Top titles for every title prefix, case-insensitive."""
-    return prefix_table(items.select(F.lower(title).alias("v")), "v", longest, n)
+def suggest(items: DataFrame, title: str = "title", n: int = 5, key: str = "item_id", category: str = "category") -> DataFrame:
+    """Top titles for every title prefix, case-insensitive, with the smallest id of the title and its category."""
+    first = F.min(F.struct(F.col(key), F.col(category)))
+    counted = items.groupBy(F.lower(title).alias("value")).agg(F.count(F.lit(1)).alias("count"), first.alias("_f"))
+    return prefix_table(counted.select("value", "count", f"_f.{key}", f"_f.{category}"), n)
 
 
-def autocomplete(docs: DataFrame, text: str = "text", n: int = 5, longest: int = 6) -> DataFrame:
+def autocomplete(docs: DataFrame, text: str = "text", n: int = 5) -> DataFrame:
     """Most frequent completions of every term prefix of the corpus."""
-    texts = spread_few_files(docs.select(text), text)
-    terms = texts.select(F.explode(tokens(F.col(text), ())).alias("v"))
-    return prefix_table(terms, "v", longest, n, shortest=2)
+    terms = docs.select(F.explode(tokens(F.col(text), ())).alias("value"))
+    return prefix_table(terms.groupBy("value").agg(F.count(F.lit(1)).alias("count")), n)

@@ -281,19 +281,18 @@ def _(spark, sf):
 @query(
     "unseen_candidates",
     """
-SELECT p.user_id, t.item_id FROM people p CROSS JOIN (
-  SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY popularity DESC, item_id) AS rn FROM items)
-  WHERE rn <= 100) t
-WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.user_id = p.user_id AND c.item_id = t.item_id)""",
+SELECT t.user_id, i.item_id FROM (
+  SELECT DISTINCT user_id, genre, category FROM clean c JOIN items USING (item_id)) t
+JOIN items i ON t.genre = i.genre AND t.category = i.category
+WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.user_id = t.user_id AND c.item_id = i.item_id)""",
 )
 def _(spark, sf):
-    """Popular items (a top-100 list) each user has not rated yet."""
+    """All items of the genres and categories a user has rated, without those that the user rated."""
     from .cleaning_queries import clean
 
-    top = ranking.global_top(tables.content(spark, sf), 100, discovery.sort_order("popularity"))
-    packed = top.agg(F.collect_list("item_id")).scalar()
-    pairs = tables.users(spark, sf).select("user_id", F.explode(packed).alias("item_id"))
-    return ranking.exclude_items(pairs, clean(spark, sf))
+    rated, items = clean(spark, sf), tables.content(spark, sf).select("item_id", "genre", "category")
+    taste = rated.join(items, "item_id").select("user_id", "genre", "category").distinct()
+    return ranking.exclude_items(taste.join(items, ["genre", "category"]).select("user_id", "item_id"), rated)
 
 
 @query(
@@ -470,10 +469,8 @@ def _(spark, sf):
 @query(
     "diversify",
     f"""
-WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item_id) AS rn FROM boosts
-           QUALIFY rn <= 50),
-d AS (SELECT user_id, item_id, genre, score, score - 0.3 * (row_number() OVER (PARTITION BY user_id, genre
-        ORDER BY round(score, 6) DESC, item_id) - 1) AS adjusted FROM p)
+WITH d AS (SELECT user_id, item_id, genre, score, score - 0.3 * (row_number() OVER (PARTITION BY user_id, genre
+        ORDER BY round(score, 6) DESC, item_id) - 1) AS adjusted FROM boosts)
 SELECT user_id, item_id, genre, round(score, 6) AS score, round(adjusted, 6) + 0.0 AS adjusted,
        {RANKED.format(s="adjusted")} FROM d QUALIFY rank <= 10""",
 )

@@ -207,21 +207,12 @@ def _(spark, sf):
 @query(
     "interaction_matrix_wide",
     """
-SELECT user_id, coalesce(avg(CASE WHEN l_linenumber = 1 THEN rating END), 0) AS "1",
-       coalesce(avg(CASE WHEN l_linenumber = 2 THEN rating END), 0) AS "2",
-       coalesce(avg(CASE WHEN l_linenumber = 3 THEN rating END), 0) AS "3" FROM (
-  SELECT o_custkey AS user_id, l_linenumber, round((CAST(l_quantity AS BIGINT) - 1) % 5 + 1, 6) AS rating
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber IN (1, 2, 3)) GROUP BY 1""",
+SELECT user_id, coalesce(avg(CASE WHEN item_id = 1 THEN rating END), 0) AS "1",
+       coalesce(avg(CASE WHEN item_id = 2 THEN rating END), 0) AS "2",
+       coalesce(avg(CASE WHEN item_id = 3 THEN rating END), 0) AS "3" FROM clean GROUP BY 1""",
 )
 def _(spark, sf):
-    lines = tables.table(spark, sf, "lineitem")
-    orders = tables.table(spark, sf, "orders")
-    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        F.col("o_custkey").alias("user_id"),
-        F.col("l_linenumber").alias("item_id"),
-        ((F.floor("l_quantity") - 1) % 5 + 1).cast("double").alias("rating"),
-    )
-    return features.interaction_matrix_wide(rows, [1, 2, 3])
+    return features.interaction_matrix_wide(clean(spark, sf), [1, 2, 3])
 
 
 TREND = """item_id, interaction_count, unique_users, round(avg_rating, 6) AS avg_rating,
@@ -233,6 +224,40 @@ def _(spark, sf):
     return features.trending_items(clean(spark, sf), days=90)
 
 
+PAST = "2000-03-01"  # a day well inside the order dates
+
+
+@query(
+    "trending_items_as_of",
+    f"""
+SELECT {TREND} FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY round(trending_score, 6) DESC, item_id) AS INTEGER) AS trending_rank FROM (
+    SELECT item_id, count(*) AS interaction_count, count(DISTINCT user_id) AS unique_users, avg(rating) AS avg_rating,
+           count(*) * avg(rating) * ln(count(DISTINCT user_id) + 1) AS trending_score
+    FROM clean WHERE CAST(timestamp AS DATE) BETWEEN DATE '{PAST}' - 90 AND DATE '{PAST}' GROUP BY item_id)
+  QUALIFY trending_rank <= 100)""",
+)
+def _(spark, sf):
+    """Trending at a past day: later interactions do not count."""
+    return features.trending_items(clean(spark, sf), days=90, as_of=PAST)
+
+
+@query(
+    "item_stats_as_of",
+    f"""
+SELECT item_id, count(*) AS total_ratings, count(DISTINCT user_id) AS unique_users, round(avg(rating), 6) AS avg_rating,
+       round(coalesce(stddev_samp(rating), 0), 6) AS rating_std, CAST(min(timestamp) AS VARCHAR) AS first_rating,
+       CAST(max(timestamp) AS VARCHAR) AS last_rating,
+       CAST(date_diff('day', min(timestamp), DATE '{PAST}') AS INTEGER) AS days_since_first_rating,
+       CAST(date_diff('day', max(timestamp), DATE '{PAST}') AS INTEGER) AS days_since_last_rating,
+       round(count(*) / greatest(date_diff('day', min(timestamp), DATE '{PAST}'), 1), 6) AS ratings_per_day
+FROM clean WHERE CAST(timestamp AS DATE) <= DATE '{PAST}' GROUP BY item_id""",
+)
+def _(spark, sf):
+    """Item statistics at a past day."""
+    return features.item_stats(clean(spark, sf), PAST)
+
+
 @query("global_trending_rank", "SELECT item_id, trending_rank FROM trend90")
 def _(spark, sf):
     return features.trending_items(clean(spark, sf), days=90).select("item_id", "trending_rank")
@@ -266,6 +291,36 @@ def _(spark, sf):
     return features.trending_window(rows, hours=168, n=50, where=F.col("genre") != "PROMO")
 
 
+@query(
+    "trending_window_as_of",
+    """
+SELECT item_id, interaction_count, unique_users, round(avg_rating, 6) AS avg_rating,
+       round(trending_score, 6) AS trending_score,
+       CAST(row_number() OVER (ORDER BY round(trending_score, 6) DESC, item_id) AS INTEGER) AS rank
+FROM (SELECT item_id, count(*) AS interaction_count, count(DISTINCT user_id) AS unique_users,
+             avg(clicked) AS avg_rating, count(*) * avg(clicked) * ln(count(DISTINCT user_id) + 1) AS trending_score
+      FROM reclog WHERE timestamp > TIMESTAMP '2024-01-11' - INTERVAL 100 HOUR AND timestamp <= TIMESTAMP '2024-01-11'
+      GROUP BY item_id)
+ORDER BY rank LIMIT 20""",
+)
+def _(spark, sf):
+    """Trend ranking of the hours before a past moment."""
+    rows = tables.recommendation_log(spark, sf).withColumn("rating", F.col("clicked").cast("double"))
+    return features.trending_window(rows, hours=100, as_of=F.lit("2024-01-11").cast("timestamp_ntz"))
+
+
+@query(
+    "encode_ids_text",
+    """
+SELECT username, row_number() OVER (ORDER BY username) - 1 AS user_index FROM (
+  SELECT DISTINCT username FROM people JOIN clean USING (user_id))""",
+)
+def _(spark, sf):
+    """Dense ids of text keys."""
+    rated = clean(spark, sf).join(tables.users(spark, sf), "user_id")
+    return features.encode_ids(rated, "username", "user_index")
+
+
 @query(
     "encode_ids",
     """

@@ -194,9 +194,9 @@ def _(spark, sf):
 
 @query("neural_scorer")
 def _(spark, sf):
-    rated = ratings(spark, sf)
-    model = factors.als_train(rated, rank=8, implicit=True)
-    rows = cut_lineage(samples.labelled_samples(rated, tables.content(spark, sf)))
+    """Accuracy and ranking quality on held-out samples; the factors see training positives only."""
+    rows = cut_lineage(samples.labelled_samples(ratings(spark, sf), tables.content(spark, sf)))
+    model = factors.als_train(rows.filter("not is_test and label = 1").withColumn("rating", F.lit(1.0)), rank=8, implicit=True)
     network = neural.train_scorer(rows, model, rank=8)
     return evaluation.binary_metrics(neural.score_pairs(network, rows.filter("is_test"), model))
 

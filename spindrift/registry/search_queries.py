@@ -259,10 +259,10 @@ def _(spark, sf):
 @query(
     "suggest",
     """
-WITH c AS (SELECT lower(p_name) AS value, count(*) AS count FROM part GROUP BY 1),
-f AS (SELECT value, count, left(value, i) AS prefix FROM (
-  SELECT value, count, unnest(range(1, least(length(value), 10) + 1)) AS i FROM c))
-SELECT prefix, value, count, CAST(row_number() OVER (PARTITION BY prefix ORDER BY count DESC, value) AS INTEGER) AS rank
+WITH c AS (SELECT lower(title) AS value, count(*) AS count, min(item_id) AS item_id, arg_min(category, item_id) AS category
+           FROM items GROUP BY 1),
+f AS (SELECT *, left(value, i) AS prefix FROM (SELECT *, unnest(range(1, length(value) + 1)) AS i FROM c))
+SELECT prefix, value, count, item_id, category, CAST(row_number() OVER (PARTITION BY prefix ORDER BY count DESC, value) AS INTEGER) AS rank
 FROM f QUALIFY rank <= 5""",
 )
 def _(spark, sf):
@@ -275,7 +275,7 @@ def _(spark, sf):
 WITH c AS (SELECT value, count(*) AS count FROM (
   SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS value FROM documents) GROUP BY 1),
 f AS (SELECT value, count, left(value, i) AS prefix FROM (
-  SELECT value, count, unnest(range(2, least(length(value), 6) + 1)) AS i FROM c))
+  SELECT value, count, unnest(range(1, length(value) + 1)) AS i FROM c))
 SELECT prefix, value, count, CAST(row_number() OVER (PARTITION BY prefix ORDER BY count DESC, value) AS INTEGER) AS rank
 FROM f QUALIFY rank <= 5""",
 )

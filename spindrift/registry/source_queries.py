@@ -11,6 +11,7 @@ from ..plans import build
 from ..session import shared_dir
 from ..sources import readers, sinks, tables
 from .base import query
+from .catalog_queries import FACET_SQL
 from .cleaning_queries import clean
 
 
@@ -67,13 +68,13 @@ def _(spark, sf):
 @query(
     "load_content",
     """
-SELECT item_id, title, NULL::VARCHAR AS description, genre, NULL::VARCHAR AS content_type, tags,
-       duration AS duration_minutes, year AS release_year, round(rating, 6) AS imdb_rating FROM items""",
+SELECT item_id, title, description, genre, NULL::VARCHAR AS content_type, tags,
+       duration AS duration_minutes, year AS release_year, round(rating, 6) AS imdb_rating FROM content""",
 )
 def _(spark, sf):
     path = f"{scratch(spark, 'load')}.parquet"
-    items = tables.content(spark, sf).select(
-        "item_id", "title", F.lit(None).cast("string").alias("description"), "genre",
+    items = tables.content(spark, sf, with_text=True).select(
+        "item_id", "title", "description", "genre",
         F.lit(None).cast("string").alias("content_type"), "tags", F.col("duration").alias("duration_minutes"),
         F.col("year").alias("release_year"), F.col("rating").alias("imdb_rating"),
     )
@@ -256,15 +257,15 @@ def _(spark, sf):
 
 @query(
     "export_facets",
-    """
-WITH pairs AS (SELECT 'category' AS name, 'Category' AS display_name, category AS value FROM items UNION ALL
-  SELECT 'genre', 'Genre', genre FROM items UNION ALL SELECT 'language', 'Language', language FROM items)
-SELECT name, display_name, 'terms' AS facet_type, value, count(*) AS count FROM pairs GROUP BY 1, 2, 4""",
+    f"""
+SELECT facet AS name, CASE facet WHEN 'rating_range' THEN 'Rating' WHEN 'duration_range' THEN 'Duration'
+         ELSE upper(facet[1]) || facet[2:] END AS display_name,
+       CASE WHEN facet LIKE '%range' THEN 'range' ELSE 'terms' END AS facet_type, value, count
+FROM ({FACET_SQL.format(where="true")})""",
 )
 def _(spark, sf):
     path = scratch(spark, "facets")
-    columns = {n: c for n, c in discovery.facet_columns().items() if n in ("category", "genre", "language")}
-    sinks.export_facets(discovery.facet_documents(discovery.facet_counts(tables.content(spark, sf), columns)), path)
+    sinks.export_facets(discovery.facet_documents(discovery.facet_counts(tables.content(spark, sf))), path)
     schema = (
         "name string, display_name string, facet_type string, "
         "values array<struct<value: string, count: bigint, percentage: double>>"

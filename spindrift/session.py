@@ -55,15 +55,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_few_files(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows by key when the input comes from fewer files than there are cores.
-
-    A single file may be one scan task, which is too few for work that is heavy
-    per byte. Tables of many files are left alone, so large inputs are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, key)

@@ -81,9 +81,11 @@ def ingest_events(stream: DataFrame, valid_path: str, rejected_path: str, checkp
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # both writes read one validated batch
         good = batch.filter("reason IS NULL").drop("reason")
         good.write.mode("overwrite").parquet(f"{valid_path}/batch={batch_id}")
         batch.filter("reason IS NOT NULL").write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
+        batch.unpersist()
 
     return run_batches(checked, store, checkpoint)
 

@@ -38,10 +38,44 @@ def test_percentile_matches_pandas_ranks(spark):
 
 
 def test_encode_ids_are_dense_and_ordered(spark):
-    keys = [5, 999_999, 100_000, 7, 250_000]
+    keys = [5, 999_999, 100_000, 7, 250_000, 2**40, -(2**50)]
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
-    got = {r.k: r.i for r in features.encode_ids(df, "k", "i", width=1000).collect()}
+    got = {r.k: r.i for r in features.encode_ids(df.union(df), "k", "i").collect()}
     assert got == {k: n for n, k in enumerate(sorted(keys))}
+    words = spark.createDataFrame([(w,) for w in ("user_9", "user_10", None, "b", "Z")], "k string")
+    got = {r.k: r.i for r in features.encode_ids(words, "k", "i").collect()}
+    assert got == {"Z": 0, "b": 1, "user_10": 2, "user_9": 3}
+
+
+def test_diversify_looks_past_the_best_fifty(spark):
+    rows = [(1, i, 1.0 - i / 1000, "A") for i in range(60)] + [(1, 100, 0.9, "B")]
+    df = spark.createDataFrame(rows, "user_id int, item_id int, score double, genre string")
+    assert [r.item_id for r in ranking.diversify(df, 2).orderBy("rank").collect()] == [0, 100]
+
+
+def test_prefixes_of_any_length(spark):
+    items = spark.createDataFrame([(3, "Recommended Title", "x"), (2, "recommended title", "y"), (1, "r", "z")], "item_id int, title string, category string")
+    got = {(r.prefix, r.value): (r["count"], r.item_id, r.category) for r in search.suggest(items).collect()}
+    assert got["recommended ti", "recommended title"] == (2, 2, "y") and got["r", "r"] == (1, 1, "z")
+    docs = spark.createDataFrame([("recommendation recommended",)], "text string")
+    assert {r.value for r in search.autocomplete(docs).filter("prefix = 'recommend'").collect()} == {"recommendation", "recommended"}
+
+
+def test_nothing_after_the_reference_day_counts(spark):
+    at = datetime.datetime.fromisoformat
+    rows = [(1, 1, 5.0, at("2024-01-10")), (2, 2, 5.0, at("2024-06-01")), (3, 2, 5.0, at("2024-06-02"))]
+    df = spark.createDataFrame(rows, "user_id int, item_id int, rating double, timestamp timestamp")
+    assert [r.item_id for r in features.trending_items(df, as_of="2024-01-11").collect()] == [1]
+    assert [r.item_id for r in features.item_stats(df, "2024-01-11").collect()] == [1]
+
+
+def test_required_columns(spark):
+    from spindrift.operators.cleaning import require_columns
+
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    require_columns(df, ["a", "b"])
+    with pytest.raises(ValueError):
+        require_columns(df, ["a", "c"])
 
 
 def test_minmax_is_zero_when_all_scores_are_equal(spark):
@@ -81,7 +115,7 @@ def test_dot_topn_matches_numpy(spark, block_rows):
     assert {(r.left_id, r.right_id, r["rank"]) for r in got} == want
 
 
-def test_item_cosine_matches_numpy_in_any_blocking(spark, matrix, monkeypatch):
+def test_item_cosine_matches_numpy_in_any_blocking(spark, matrix):
     x, df = matrix
     norms = np.linalg.norm(x, axis=0)
     cosine = np.round(x.T @ x / np.outer(norms, norms), 6)
@@ -89,19 +123,22 @@ def test_item_cosine_matches_numpy_in_any_blocking(spark, matrix, monkeypatch):
     for i in range(x.shape[1]):
         options = sorted((-cosine[i, j], j) for j in range(x.shape[1]) if j != i and cosine[i, j] > 0)[:5]
         want |= {(i, j, r + 1) for r, (_, j) in enumerate(options)}
-    for item_block, user_rows in ((2048, 1_000_000), (4, 1_000_000), (4, 50)):
-        monkeypatch.setattr(similarity, "USER_BLOCK_ROWS", user_rows)
+    for item_block, batch in ((2048, 10_000), (4, 10_000), (4, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         got = similarity.item_item_cosine(df, k=5, item_block=item_block).collect()
         assert {(r.item_id, r.similar_id, r["rank"]) for r in got} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_pair_chunks_do_not_change_the_sums(matrix, monkeypatch):
     x, _ = matrix
     u, i = np.nonzero(x)
     rows = pd.DataFrame({"user_id": u, "item_id": i, "rating": x[u, i], "block": 0, "cell_a": 0, "cell_b": 0})
-    whole = similarity._block_dots(rows)
+    best = similarity._stream_cells(5, None)
+    whole = pd.concat(best(iter([rows])), ignore_index=True)
     monkeypatch.setattr(similarity, "PAIR_CHUNK", 17)
-    pd.testing.assert_frame_equal(whole, similarity._block_dots(rows))
+    parts = iter([rows.iloc[a : a + 13] for a in range(0, len(rows), 13)])
+    pd.testing.assert_frame_equal(whole, pd.concat(best(parts), ignore_index=True))
 
 
 def test_svd_matches_numpy(spark, matrix):

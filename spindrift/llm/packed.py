@@ -17,9 +17,6 @@ from pyspark.sql.types import StructField, StructType
 
 from .graph import bucket_count, bucket_cuts
 
-#: Slots for each bucket: small groups, dealt evenly.
-SLOTS = 2
-
 LATE = np.iinfo(np.int64).max
 
 QUESTION = "slot int, bucket int, payload binary"
@@ -36,7 +33,7 @@ def slotted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     core = {"doc_id": F.col(f"_c{names.index(doc_id)}").cast("long"), "text": F.col(f"_c{names.index(text)}")}
     rest = F.struct(*[F.col(f"_c{i}") for i in other]) if other else F.lit(None).cast("int")
     turn = F.when(core["doc_id"].isNull(), F.xxhash64(core["text"])).otherwise(F.lit(0))
-    slot = F.pmod(F.xxhash64(F.coalesce(core["doc_id"], turn)), F.lit(SLOTS * bucket_count(docs))).cast("int")
+    slot = F.pmod(F.xxhash64(F.coalesce(core["doc_id"], turn)), F.lit(bucket_count(docs))).cast("int")
     return plain.select(slot.alias("slot"), core["doc_id"].alias("doc_id"), core["text"].alias("text"), turn.alias("turn"), rest.alias("rest"))
 
 

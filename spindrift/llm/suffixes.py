@@ -9,6 +9,8 @@ symbols in ascending order. Adjacent common prefixes then give the groups of equ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,9 @@ from .packed import QUESTION, REPLY, document_keys, flags_for, in_order, in_seve
 #: Bytes of a hashed window inside a string; a power of two.
 GRAM = 16
 
+#: Bytes that are sorted at once.
+SORT_BYTES = 1 << 20
+
 
 def two_stage_sort(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array of small non-negative integers, right up to ``depth`` symbols of each suffix.
@@ -273,6 +278,19 @@ def _read_segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     return doc, turn, key, [data[base + a : base + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def _batches(order: np.ndarray, group: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
+    """Cut segments, ordered by group, into runs of whole groups with at most :data:`SORT_BYTES`, or one group."""
+    total = np.cumsum([sizes[i] for i in order.tolist()])
+    ends = np.flatnonzero(np.diff(group[order], append=-1)) + 1 if len(order) else np.zeros(0, np.int64)
+    first = 0
+    while first < len(order):
+        done = int(total[first - 1]) if first else 0
+        fit = ends[(ends > first) & (total[ends - 1] <= done + SORT_BYTES)]
+        last = int(fit[-1]) if len(fit) else int(ends[ends > first][0])
+        yield order[first:last]
+        first = last
+
+
 def _repeats(table: pa.Table, length: int) -> pa.Table:
     """Bucket side of the second question: which bytes of each segment repeat an earlier document?
 
@@ -300,8 +318,11 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
     key[number] = np.concatenate([p[2] for p in parts])
     _, index, times = np.unique(key, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(times[index] > 1)
-    owner, offset = repeated_starts([content[i] for i in mixed.tolist()], least[mixed], length)
-    owner = mixed[owner]
+    found = []
+    for part in _batches(mixed[np.argsort(index[mixed], kind="stable")], index, [len(c) for c in content]):
+        owner, offset = repeated_starts([content[i] for i in part.tolist()], least[part], length)
+        found.append((part[owner], offset))
+    owner, offset = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
     order = np.lexsort((offset, owner))
     owner, offset = owner[order], offset[order]
     fresh = np.ones(len(owner), bool)

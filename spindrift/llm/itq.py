@@ -31,16 +31,18 @@ STRIP = 512
 
 
 class Quantiser:
-    """Codes of unit vectors: the signs of rotated principal components."""
+    """Codes of unit vectors: the signs of rotated principal components.
+
+    The components are those of the second moments, without a mean taken off, so that signs follow angles also where
+    most vectors point one way.
+    """
 
     def __init__(self, sample: np.ndarray, bits: int = 64, rounds: int = 50, seed: int = 5):
         self.size = sample.shape[1]
         self.bits = min(bits, self.size)
-        self.mean = sample.mean(axis=0)
-        centred = sample - self.mean
-        _, vectors = np.linalg.eigh(centred.T @ centred)
+        _, vectors = np.linalg.eigh(sample.T @ sample)
         basis = vectors[:, ::-1][:, : self.bits]
-        flat = centred @ basis
+        flat = sample @ basis
         rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(self.bits, self.bits)))[0]
         for _ in range(rounds):
             # Nearest corners for the rotation, then the rotation that moves the points nearest to them.
@@ -54,7 +56,7 @@ class Quantiser:
             fitted = np.zeros((len(unit), self.size))
             fitted[:, : min(self.size, unit.shape[1])] = unit[:, : self.size]
             unit = fitted
-        signs = ((unit - self.mean) @ self.turn >= 0).astype(np.uint64)
+        signs = (unit @ self.turn >= 0).astype(np.uint64)
         return (signs << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 

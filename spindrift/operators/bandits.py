@@ -50,21 +50,22 @@ def ucb_score(counts: DataFrame, beta: float = 1.0, n: int = 10) -> DataFrame:
 def thompson_sampling(counts: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
     """One Beta(successes + 1, failures + 1) draw per item; the best ``n``.
 
-    Each item's generator is seeded by (seed, item), so draws do not depend on
-    how the rows are partitioned or on retries.
+    Each item's generator is seeded by a 64-bit hash of (item, seed), so draws do
+    not depend on how the rows are partitioned or on retries, and ids may have any
+    type.
     """
+    kind = counts.schema["item_id"].dataType.simpleString()
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             rows["score"] = [
-                np.random.default_rng((seed, int(i) & 0xFFFFFFFF)).beta(s + 1, f + 1)
-                for i, s, f in zip(rows["item_id"], rows["successes"], rows["failures"])
+                np.random.default_rng(h % (1 << 64)).beta(s + 1, f + 1)
+                for h, s, f in zip(rows["h"].tolist(), rows["successes"], rows["failures"])
             ]
-            yield rows
+            yield rows.drop(columns="h")
 
-    sampled = counts.select("item_id", "successes", "failures").mapInPandas(
-        draw, "item_id bigint, successes bigint, failures bigint, score double"
-    )
+    keyed = counts.select("item_id", "successes", "failures", F.xxhash64("item_id", F.lit(seed)).alias("h"))
+    sampled = keyed.mapInPandas(draw, f"item_id {kind}, successes bigint, failures bigint, score double")
     return global_top(sampled, n, [F.col("score").desc(), F.col("item_id").asc()])
 
 

@@ -31,9 +31,8 @@ def as_of_date(df: DataFrame, as_of: str | Column | None, ts: str = "timestamp")
     return F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of
 
 
-def user_stats(df: DataFrame) -> DataFrame:
-    """Counts, rating spread and activity span per user."""
-    stats = df.groupBy("user_id").agg(
+def _stat_columns() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("total_interactions"),
         F.avg("rating").alias("avg_rating"),
         F.coalesce(F.stddev("rating"), F.lit(0.0)).alias("rating_std"),
@@ -42,7 +41,24 @@ def user_stats(df: DataFrame) -> DataFrame:
         F.count_distinct("item_id").alias("unique_items"),
         F.min("timestamp").alias("first_interaction"),
         F.max("timestamp").alias("last_interaction"),
-    )
+    ]
+
+
+def _profile_columns(ts: str) -> list[Column]:
+    day = F.dayofweek(ts)
+    return [
+        F.avg(F.hour(ts)).alias("avg_interaction_hour"),
+        F.mode(day, True).alias("most_active_day"),
+        F.avg(day.isin(1, 7).cast("int")).alias("weekend_preference"),
+    ]
+
+
+def user_stats(df: DataFrame) -> DataFrame:
+    """Counts, rating spread and activity span per user."""
+    return _with_span(df.groupBy("user_id").agg(*_stat_columns()))
+
+
+def _with_span(stats: DataFrame) -> DataFrame:
     days = F.date_diff("last_interaction", "first_interaction") + 1
     return stats.withColumns(
         {
@@ -88,21 +104,16 @@ def favorite_genre(interactions: DataFrame, content: DataFrame) -> DataFrame:
 
 def temporal_profile(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Mean hour, most frequent weekday (ties: the smallest) and weekend share per user."""
-    day = F.dayofweek(ts)
-    return df.groupBy("user_id").agg(
-        F.avg(F.hour(ts)).alias("avg_interaction_hour"),
-        F.mode(day, True).alias("most_active_day"),
-        F.avg(day.isin(1, 7).cast("int")).alias("weekend_preference"),
-    )
+    return df.groupBy("user_id").agg(*_profile_columns(ts))
 
 
 def user_features(interactions: DataFrame, content: DataFrame) -> DataFrame:
-    """One row per user: stats, favourite genre and temporal profile, defaults filled."""
-    joined = (
-        user_stats(interactions)
-        .join(favorite_genre(interactions, content), "user_id", "left")
-        .join(temporal_profile(interactions), "user_id", "left")
-    )
+    """One row per user: stats, favourite genre and temporal profile, defaults filled.
+
+    Stats and profile come from one aggregate on the same key.
+    """
+    both = _with_span(interactions.groupBy("user_id").agg(*_stat_columns(), *_profile_columns("timestamp")))
+    joined = both.join(favorite_genre(interactions, content), "user_id", "left")
     return fill_defaults(joined, USER_DEFAULTS)
 
 

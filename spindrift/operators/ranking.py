@@ -100,13 +100,18 @@ def hybrid_recs(
     n: int = 10,
     weights: tuple[float, float] = (0.7, 0.3),
 ) -> DataFrame:
-    """Blend two candidate lists: best 2n of each, min-max per user, weighted sum, best n."""
+    """Blend two candidate lists: best 2n of each, min-max per user, weighted sum, best n.
+
+    The lists are short once they are cut, so the bounds come from a window on the
+    partitioning that the cut has made already.
+    """
     parts = []
+    whole = Window.partitionBy("user_id")
+    low, width = F.min("score").over(whole), F.max("score").over(whole) - F.min("score").over(whole)
     for rows, weight in ((collaborative, weights[0]), (content, weights[1])):
-        top = top_n_per_user(rows, 2 * n).drop("rank")
-        parts.append(
-            minmax_normalize(top).select("user_id", "item_id", (F.col("norm") * weight).alias("score"))
-        )
+        top = top_n_per_user(rows, 2 * n).withColumns({"_lo": low, "_width": width})
+        norm = F.when(F.col("_width") > 0, (F.col("score") - F.col("_lo")) / F.col("_width")).otherwise(F.lit(0.0))
+        parts.append(top.select("user_id", "item_id", (norm * weight).alias("score")))
     merged = merge_scored_lists(*parts, names=("collaborative", "content"))
     merged = merged.withColumn("score", F.col("collaborative_score") + F.col("content_score"))
     return top_n_per_user(merged, n)
@@ -169,13 +174,13 @@ def fallback_lists(primary: DataFrame, backup: DataFrame, users: DataFrame) -> D
     )
 
 
-def cold_start(personal: DataFrame, popular: DataFrame, users: DataFrame) -> DataFrame:
-    """Personal lists, or the popular list for users who have none.
+def cold_start(personal: DataFrame, popular: DataFrame, users: DataFrame, n: int = 100) -> DataFrame:
+    """Personal lists, or the best ``n`` of the popular list for users who have none.
 
-    ``popular`` (item_id, score, rank) is a top-n list of fixed length, so it is
-    carried to each such user as one array and exploded there.
+    ``popular`` has item_id, score and rank. Its first ``n`` rows are carried to
+    each such user as one array and exploded there.
     """
-    packed = popular.agg(
+    packed = popular.filter(F.col("rank") <= n).agg(
         F.array_sort(F.collect_list(F.struct("rank", "item_id", "score"))).alias("p")
     ).scalar()
     missing = users.select("user_id").join(personal.select("user_id").distinct(), "user_id", "left_anti")

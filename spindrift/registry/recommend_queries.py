@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import evaluation, factors, neural, ranking, samples, tfidf
 from ..plans import models
@@ -143,11 +144,37 @@ def svd(spark, sf):
     return factors.svd_train(ratings(spark, sf))
 
 
-@query("svd_train")
+def list_facts(recs, rated):
+    """Per user what any right list must show: its length, distinct items, rated items, ranks 1.. in score order."""
+    seen = rated.select("user_id", "item_id", F.lit(1).alias("seen"))
+    before = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
+    rows = recs.withColumn("falls", F.coalesce(F.col("score") <= before, F.lit(True)))
+    return (
+        rows.join(seen, ["user_id", "item_id"], "left")
+        .groupBy("user_id")
+        .agg(
+            F.count(F.lit(1)).alias("items"),
+            F.count_distinct("item_id").alias("distinct_items"),
+            F.count("seen").alias("rated_items"),
+            F.bool_and("falls").alias("in_order"),
+            F.max("rank").alias("last_rank"),
+        )
+    )
+
+
+@query(
+    "svd_train",
+    "SELECT item_id AS id, 50 AS rank, true AS explained_is_a_share, true AS values_fall FROM ratings GROUP BY item_id",
+)
 def _(spark, sf):
-    """Item factors with the singular values of the model."""
+    """Item factors: their length, and whether the singular values fall and explain a share of the variance."""
     model = svd(spark, sf)
-    return model.items.select("id", F.size("val").alias("rank"), F.lit(model.explained_variance).alias("explained"))
+    values = model.singular_values
+    falls = all(a >= b > 0 for a, b in zip(values, values[1:]))
+    share = 0 < model.explained_variance <= 1
+    return model.items.select(
+        "id", F.size("val").alias("rank"), F.lit(share).alias("explained_is_a_share"), F.lit(falls).alias("values_fall")
+    )
 
 
 @query("collaborative_recs")
@@ -155,7 +182,20 @@ def _(spark, sf):
     return factors.factor_recs(svd(spark, sf), ratings(spark, sf))
 
 
-@query("als_train")
+@query(
+    "collaborative_list_facts",
+    """
+SELECT user_id, least(10, n - count(*)) AS items, least(10, n - count(*)) AS distinct_items, 0::BIGINT AS rated_items,
+       true AS in_order, CAST(least(10, n - count(*)) AS INTEGER) AS last_rank
+FROM ratings, (SELECT count(DISTINCT item_id) AS n FROM ratings) GROUP BY user_id, n""",
+)
+def _(spark, sf):
+    """Lists of the factor model: full, without repeats or rated items, in score order."""
+    rated = ratings(spark, sf)
+    return list_facts(factors.factor_recs(svd(spark, sf), rated), rated)
+
+
+@query("als_train", "SELECT user_id AS id, 10 AS rank FROM ratings GROUP BY user_id")
 def _(spark, sf):
     model = factors.als_train(ratings(spark, sf))
     return model.users.select("id", F.size("val").alias("rank"))
@@ -175,21 +215,33 @@ def _(spark, sf):
     return ranking.hybrid_recs(collaborative, tfidf.content_recs(rated, item_vectors(spark, sf), 20))
 
 
-@query("factor_lookup")
+@query(
+    "factor_lookup",
+    """
+SELECT user_id AS id, 10 AS rank FROM people WHERE is_premium AND user_id IN (SELECT user_id FROM ratings)""",
+)
 def _(spark, sf):
     model = factors.als_train(ratings(spark, sf))
     wanted = tables.users(spark, sf).filter("is_premium").select("user_id")
     return factors.factor_lookup(model.users, wanted, "user_id").select("id", F.size("val").alias("rank"))
 
 
-@query("save_load_model")
+@query(
+    "save_load_model",
+    "SELECT item_id AS id, 10 AS length, '10' AS rank, true AS same FROM ratings GROUP BY item_id",
+)
 def _(spark, sf):
+    """Item factors read back, compared with those that were saved."""
     import uuid
 
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
-    models.save_model(factors.als_train(ratings(spark, sf)), path, rank=10)
+    model = factors.als_train(ratings(spark, sf))
+    model.items = cut_lineage(model.items)
+    models.save_model(model, path, rank=10)
     loaded, config = models.load_model(spark, path)
-    return loaded.items.select("id", F.size("val").alias("length"), F.lit(config["rank"]).alias("rank"))
+    both = loaded.items.join(model.items.select("id", F.col("val").alias("saved")), "id", "full_outer")
+    same = F.col("val").eqNullSafe(F.col("saved")).alias("same")
+    return both.select("id", F.size("val").alias("length"), F.lit(config["rank"]).alias("rank"), same)
 
 
 @query("neural_scorer")

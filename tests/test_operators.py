@@ -250,7 +250,7 @@ def test_alert_comparisons_are_strict(spark):
 
 def test_auc_with_ties(spark):
     data = [(0.1, 0), (0.4, 0), (0.4, 1), (0.8, 1), (1.0, 1)]
-    row = evaluation.binary_metrics(spark.createDataFrame(data, "score double, label int"), bins=3).first()
+    row = evaluation.binary_metrics(spark.createDataFrame(data, "score double, label int")).first()
     assert row.auc == pytest.approx(5.5 / 6) and row.accuracy == pytest.approx(0.8)
 
 

@@ -192,19 +192,21 @@ def test_packing_is_a_partition_of_all_ids(planted, planted_texts, empty):
     assert packing.pack(empty, BPE).count() == 0
 
 
-def test_column_generation_is_near_the_bound():
+def test_column_generation_reaches_the_optimum():
     rng = np.random.default_rng(0)
-    for _ in range(3):
-        histogram = {16 * k: int(rng.integers(1, 100_000)) for k in range(1, 64)} | {k: int(rng.integers(1, 100_000)) for k in range(1, 16)}
-        plan = packing.plan_patterns(histogram, 1024)
-        used = Counter()
-        for pattern, times in plan:
-            assert sum(n * c for n, c in pattern.items()) <= 1024
-            used.update({n: c * times for n, c in pattern.items()})
-        assert used == Counter(histogram)
-        # No packing needs fewer sequences than the volume asks for, or than there are pieces over half a sequence.
-        volume, large = sum(n * c for n, c in histogram.items()) / 1024, sum(c for n, c in histogram.items() if n > 512)
-        assert sum(t for _, t in plan) <= max(volume, large) * 1.01 + 80
+    histogram = {16 * k: int(rng.integers(1, 100_000)) for k in range(1, 32)} | {k: int(rng.integers(1, 100_000)) for k in range(1, 16)}
+    plan = packing.plan_patterns(histogram, 512)
+    used = Counter()
+    for pattern, times in plan:
+        assert sum(n * c for n, c in pattern.items()) <= 512
+        used.update({n: c * times for n, c in pattern.items()})
+    assert used == Counter(histogram)
+    # The prices of the final patterns allow no better pattern, so their number bounds every packing.
+    lengths = np.array(sorted(histogram, reverse=True))
+    patterns, times = packing.generate_patterns(lengths, np.array([float(histogram[n]) for n in lengths]), 512)
+    prices = np.linalg.solve(patterns.astype(float), np.ones(len(lengths)))
+    assert packing.best_pattern(prices, lengths, 512)[0] <= 1 + 1e-6
+    assert sum(t for _, t in plan) <= times.sum() + len(lengths)
 
 
 def test_license_phrases_and_fuzzy_notices(spark, empty):

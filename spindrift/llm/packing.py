@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from spindrift.session import cut_lineage
 
 from .buffers import slices, take
-from .tokens import Encoder
+from .tokens import SLICE_BYTES, Encoder
 
 
 @lru_cache(2)
@@ -137,7 +137,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = library_encoder(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, offsets = encoder.encode(batch.column(1))
             ids, ends = ids.astype("<u4"), offsets.tolist()
             rows: list[tuple[int, ...]] = []

@@ -23,6 +23,9 @@ from .buffers import _places, mix, slices, take, text_bytes
 #: Distinct pieces that one worker remembers; beyond that it starts afresh.
 CACHE = 1 << 21
 
+#: Text bytes encoded at once; a longer single text is encoded alone.
+SLICE_BYTES = 1 << 20
+
 LETTER, NUMBER, OTHER, WHITE = 1, 2, 0, 3
 
 #: The contractions that the pre-tokenizer splits off after an apostrophe.
@@ -33,11 +36,11 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point its class, and a random 64-bit value."""
     kinds = np.zeros(0x110000, np.uint8)
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(points)
+    # No surrogates; one string, as a million small ones would stay in the worker's memory.
+    text = np.delete(np.arange(0x110000, dtype="<u4"), slice(0xD800, 0xE000)).tobytes().decode("utf-32-le")
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", WHITE)):
         for found in regex.finditer(pattern, text):
-            kinds[ord(found[0][0]) : ord(found[0][-1]) + 1] = kind
+            kinds[ord(text[found.start()]) : ord(text[found.end() - 1]) + 1] = kind
     kinds[0xD800:0xE000] = OTHER
     values = np.random.Generator(np.random.PCG64(20240503)).integers(0, 2**64, 0x110000, dtype=np.uint64)
     return kinds, values
@@ -274,7 +277,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = own_encoder(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, offsets = encoder.encode(batch.column(1))
             made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], ["doc_id", "ids"])

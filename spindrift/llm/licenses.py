@@ -24,7 +24,7 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 
 #: Short notices as words, and their labels.
 NOTICES = {
-    "this software is released under the mit license": "mit",
+    "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
     "licensed under the apache license version 2 0": "apache-2",
     "licensed under cc by nc 4 0": "cc-by-nc",
@@ -37,6 +37,9 @@ NOTICES = {
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
 
+#: Length of the grams that a candidate must share with its notice before it is verified.
+GRAM = 4
+
 #: Verified windows that a worker remembers.
 CACHE = 1 << 16
 
@@ -63,7 +66,8 @@ class Scanner:
             body = notice.encode()
             edits = len(body) // chars_per_edit
             pattern = regex.compile(b"(?b)(?:" + regex.escape(body) + b"){e<=" + str(edits).encode() + b"}")
-            self.notices.append((len(body), edits, label, pattern))
+            grams = {body[i : i + GRAM] for i in range(len(body) - GRAM + 1)}
+            self.notices.append((len(body), edits, label, pattern, grams))
             for offset, seed in split_seeds(body, edits):
                 self.seeds.setdefault(seed, []).append((number, offset))
         self.held: dict[tuple[int, bytes], tuple[int, int, int] | None] = {}
@@ -95,11 +99,11 @@ class Scanner:
                 at = data.find(seed, at + 1)
         found: dict[tuple[int, int, str], tuple[int, int]] = {}
         for number, row, cell in wanted:
-            size, edits, label, pattern = self.notices[number]
+            size, edits, label, _, _ = self.notices[number]
             width = 2 * edits + 2
             low = max(heads[row], cell * width - edits)
             high = min((cell + 1) * width + size + 2 * edits, heads[row + 1] - 1 if row + 1 < len(heads) else len(data) - 1)
-            hit = self._verify(number, pattern, data[low:high])
+            hit = self._verify(number, data[low:high])
             if hit:
                 start, end, errors = hit
                 key = (low + start, low + end, label)
@@ -118,7 +122,15 @@ class Scanner:
             last = end
         return out
 
-    def _verify(self, number: int, pattern: regex.Pattern, window: bytes) -> tuple[int, int, int] | None:
+    def _verify(self, number: int, window: bytes) -> tuple[int, int, int] | None:
+        """Start, end and edits of the best match. An edit touches at most GRAM grams, so most candidates fail early."""
+        _, edits, _, pattern, grams = self.notices[number]
+        missing = 0
+        for gram in grams:
+            if gram not in window:
+                missing += 1
+                if missing > GRAM * edits:
+                    return None
         key = (number, window)
         if key not in self.held:
             if len(self.held) >= CACHE:

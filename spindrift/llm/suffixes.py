@@ -250,7 +250,7 @@ def _ask_segments(table: pa.Table, replies: pa.Table, buckets: int, length: int)
     slot = _Slot(table, length)
     slot.segments(flags_for(slot.asked, buckets, replies_of(replies, 1)))
     doc, turn = document_keys(slot.table)
-    chosen, data = _by_bucket(slot, buckets)
+    chosen, data = _by_bucket(slot, buckets), []
     for part in chosen.values():
         rows = slot.row[slot.opener[part]]
         content = [slot.content[i] for i in part.tolist()]
@@ -259,14 +259,14 @@ def _ask_segments(table: pa.Table, replies: pa.Table, buckets: int, length: int)
     return pa.table({"slot": pa.array(np.full(len(data), table.column("slot")[0].as_py()), pa.int32()), "bucket": pa.array(list(chosen), pa.int32()), "payload": pa.array(data, pa.binary())})
 
 
-def _by_bucket(slot: _Slot, buckets: int) -> tuple[dict[int, np.ndarray], list[bytes]]:
+def _by_bucket(slot: _Slot, buckets: int) -> dict[int, np.ndarray]:
     """Numbers of the slot's segments by the bucket of their minimizer, in a fixed order."""
     key = slot.key[slot.opener]
     order = np.argsort(key, kind="stable")
     step = np.uint64((1 << 64) // buckets + 1)
     bucket = (key[order] // step).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    return {int(key[p[0]] // step): p for p in np.split(order, cuts) if len(p)}, []
+    return {int(key[p[0]] // step): p for p in np.split(order, cuts) if len(p)}
 
 
 def _read_segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -348,8 +348,9 @@ def _remove(table: pa.Table, replies: pa.Table, buckets: int, length: int) -> pa
     slot.segments(flags_for(slot.asked, buckets, replies_of(replies, 1)))
     whole = np.zeros(len(slot.content), bool)
     partly: list[tuple[int, int, int]] = []
-    for bucket, part in _by_bucket(slot, buckets)[0].items():
-        data, n = replies_of(replies, 2)[bucket], len(part)
+    second = replies_of(replies, 2)
+    for bucket, part in _by_bucket(slot, buckets).items():
+        data, n = second[bucket], len(part)
         whole[part] = np.frombuffer(data, bool, n)
         counts = np.frombuffer(data, np.int32, n, n)
         spans = np.frombuffer(data, np.int32, -1, 5 * n).reshape(-1, 2)

@@ -6,14 +6,16 @@ here, Kafka or another connector on a cluster.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.cleaning import validate_events
@@ -183,14 +185,40 @@ def user_state(stream: DataFrame, item: str = "item_id", n: int = 5) -> DataFram
     )
 
 
+class DroppedRows(StreamingQueryListener):
+    """Rows dropped behind the watermark, by run and batch; progress kept by a query ends after its last 100 batches."""
+
+    def __init__(self) -> None:
+        self.batches: dict[str, dict[int, int]] = {}
+        self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event: object) -> None:
+        pass
+
+    def onQueryProgress(self, event: object) -> None:
+        progress = event.progress
+        dropped = sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+        self.batches.setdefault(str(progress.runId), {})[progress.batchId] = dropped
+
+    def onQueryTerminated(self, event: object) -> None:
+        self.ended[str(event.runId)].set()
+
+    def total(self, query: StreamingQuery, seconds: int = 60) -> int:
+        """The sum for a query that has ended, once all its events have arrived."""
+        if not self.ended[str(query.runId)].wait(seconds):
+            raise TimeoutError("the end of the stream was not reported")
+        return sum(self.batches.get(str(query.runId), {}).values())
+
+
 def late_events(stream: DataFrame, key: str, checkpoint: str, delay: str = "1 hour") -> tuple[int, int]:
     """Run a keyed dedup and count (kept, dropped) rows; dropped rows were older than the watermark."""
     kept = []
     timed = event_time(stream, "timestamp", delay).dropDuplicatesWithinWatermark([key])
-    query = run_batches(timed, lambda batch, _: kept.append(batch.count()), checkpoint)
-    dropped = sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+    streams, listener = stream.sparkSession.streams, DroppedRows()
+    streams.addListener(listener)
+    try:
+        query = run_batches(timed, lambda batch, _: kept.append(batch.count()), checkpoint)
+        dropped = listener.total(query)
+    finally:
+        streams.removeListener(listener)
     return sum(kept), dropped

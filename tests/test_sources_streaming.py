@@ -90,3 +90,17 @@ def test_late_rows_are_counted(spark, tmp_path):
         stream = feed(spark, tmp_path, [(i, datetime.datetime.fromisoformat(t)) for i, t in events], schema)
         total.append(jobs.late_events(stream, "event_id", f"{tmp_path}/cp"))
     assert total == [(2, 0), (1, 1)]
+
+
+def test_late_rows_are_counted_beyond_the_kept_progress(spark, tmp_path):
+    schema = "event_id long, timestamp timestamp"
+    late = [(3, "2024-01-01 00:00"), (4, "2024-01-01 01:00")]  # a batch filters by the watermark of the one before the last
+    for events in ([(1, "2024-01-02 05:00")], [(2, "2024-01-02 05:10")], late, [(5, "2024-01-02 05:20")], [(6, "2024-01-02 05:30")]):
+        feed(spark, tmp_path, [(i, datetime.datetime.fromisoformat(t)) for i, t in events], schema)
+    stream = jobs.file_stream(spark, f"{tmp_path}/feed", spark.createDataFrame([], schema).schema, 1)
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(name, "1")
+    try:
+        assert jobs.late_events(stream, "event_id", f"{tmp_path}/cp") == (4, 2)
+    finally:
+        spark.conf.unset(name)

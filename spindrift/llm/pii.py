@@ -1,13 +1,15 @@
 """Personal data by fixed patterns and by contextual bootstrapping, in DataFrame functions only.
 
-Four kinds of identifiers are found by pattern. They are the seeds of a bootstrap: every identifier-like token of the
-corpus is an instance, its shape together with the word before or after it is a pattern, and the two score each other
-over the graph of instances and patterns for a few rounds. Patterns that keep to one kind and that enough different
-seeds support then name unseen identifiers of that kind.
+Four kinds of identifiers are found by pattern. They are the seeds of a bootstrap: whole seeds and every other
+identifier-like token are instances, the word before and the word after are patterns, a coarse shape is one more, and
+instances and patterns score each other over their graph for a few rounds. Words that keep to one kind and that enough
+different seeds support then name unseen identifiers of that kind, whatever their shape.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,31 +28,56 @@ KINDS = {
 
 _BYTE_PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
-#: An identifier-like token: a run of word characters and joiners with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9@._%+:/#-])[A-Za-z@._%+:/#-]*+[0-9][A-Za-z0-9@._%+:/#-]*+"
+#: An identifier-like token: number groups with spaces, brackets, dots or hyphens between them, or a run of letters and
+#: digits with joiners inside that has a digit or a joiner.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9@._%+:/#-])(?:"
+    r"[+(]{0,2}[0-9]++(?![A-Za-z@_%:/#])(?:[\x20().-]{1,3}+[0-9]++(?![A-Za-z@_%:/#]))++"
+    r"|\+?(?=[A-Za-z]*+(?:[0-9]|[@._%+:/#-]++[A-Za-z0-9]))[A-Za-z0-9]++(?:[@._%+:/#-]++[A-Za-z0-9]++)*+)"
+)
+
+#: What every text with such a token or with personal data holds.
+MAY_HOLD = r"[0-9]|@|[A-Za-z][._%+:/#-]++[A-Za-z]"
 
 #: Characters beside a candidate in which its neighbouring words are looked for.
 CONTEXT = 48
 
 SPAN = "struct<start:int,rank:int,end:int>"
 
+PLACED = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+
+#: Java's white space, at which the words beside an instance end.
+BLANKS = r"[ \t\n\x0B\f\r]+"
+
 
 def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
     """All matches of a pattern, and the texts between them."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
-def _placed(found: Column, between: Column) -> Column:
-    """Matches as array<struct<start, end, value, before, after>>, in code points."""
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,place:int>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _placed(text: Column, pattern: str) -> Column:
+    """Matches as array<struct<start, end, value, left, right>> in code points, with the text on both sides."""
+    found, between = _matches(text, pattern)
+    return _let(F.struct(found.alias("found"), between.alias("between")), lambda x: _place(x["found"], x["between"]))
+
+
+def _place(found: Column, between: Column) -> Column:
+    n = F.size(found)
+    ahead = F.zip_with(F.slice(between, 2, n), F.slice(found, 2, n), lambda a, m: F.left(F.concat(a, F.coalesce(m, F.lit(""))), F.lit(CONTEXT)))
+    pairs = F.zip_with(F.zip_with(found, F.slice(between, 1, n), lambda m, b: F.struct(m.alias("m"), b.alias("b"))), ahead, lambda p, a: F.struct(p["m"].alias("m"), p["b"].alias("b"), a.alias("a")))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(PLACED).alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["b"])
         end = start + F.length(pair["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["m"].alias("value"), (F.size(state["out"]) + 1).alias("place"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
+        left = F.right(F.concat(state["last"], pair["b"]), F.lit(CONTEXT))
+        one = F.struct(start.alias("start"), end.alias("end"), pair["m"].alias("value"), left.alias("left"), pair["a"].alias("right"))
+        return F.struct(end.alias("at"), pair["m"].alias("last"), F.array_append(state["out"], one).alias("out"))
 
     return F.aggregate(pairs, first, step, lambda state: state["out"])
 
@@ -79,45 +106,70 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """array<struct<start, rank, end>> of one kind: leftmost matches that do not overlap, failing ones dropped."""
+def _base(text: Column, kind: str) -> Column:
+    """Matches of one kind with the words beside them: leftmost ones that do not overlap, failing ones dropped."""
     needs, pattern = KINDS[kind]
     rank = list(KINDS).index(kind)
-    kept = F.filter(_placed(*_matches(text, pattern)), lambda m: _passes(kind, m["value"]))
-    spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
-    return F.when(text.rlike(needs), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    kept = F.filter(_placed(text, pattern), lambda m: _passes(kind, m["value"]))
+    spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), *_words(m)))
+    return F.when(text.rlike(needs), spans).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,value:string,before:string,after:string>>"))
+
+
+def _words(m: Column) -> list[Column]:
+    """The value of a placed match, and the words before and after it."""
+    before = F.regexp_extract(m["left"], r"(\S++)\s*$", 1)
+    after = F.regexp_extract(m["right"], r"^\s*(\S+)", 1)
+    return [F.lower(c).alias(name) for c, name in ((m["value"], "value"), (before, "before"), (after, "after"))]
 
 
 def _candidates(text: Column) -> Column:
     """Identifier-like tokens with the words beside them: array<struct<start, end, value, before, after>>."""
-    found, between = _matches(text, CANDIDATE)
+    found = F.transform(_placed(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *_words(m)))
+    return F.when(text.rlike(MAY_HOLD), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>"))
 
-    def with_words(m: Column) -> Column:
-        left = F.regexp_extract(F.right(between[m["place"] - 1], F.lit(CONTEXT)), r"(\S++)\s*$", 1)
-        right = F.regexp_extract(F.left(between[m["place"]], F.lit(CONTEXT)), r"^\s*(\S+)", 1)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.lower(left).alias("before"), F.lower(right).alias("after"))
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
-    return F.when(text.rlike("[0-9]"), F.transform(_placed(found, between), with_words)).otherwise(none)
+def _shape(value: Column) -> Column:
+    """Which of the sign @, letters and digits a value holds."""
+    return F.concat(*[F.when(value.rlike(part), name).otherwise("") for part, name in (("@", "@"), ("[A-Za-z]", "a"), ("[0-9]", "9"))])
 
 
-def _shape(value: Column) -> Column:
-    """Letters as a, digits as 9, runs as one; joiners stay."""
-    return F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", "a"), "[0-9]+", "9")
+def _patterns(c: str) -> Column:
+    """The patterns of an instance: the word before, the word after, the shape. Missing words are none."""
+    named = F.array(*[F.when(F.col(f"{c}.{side}") != "", F.concat(F.lit(f"{side} "), f"{c}.{side}")) for side in ("before", "after")])
+    return F.array_append(F.array_compact(named), F.concat(F.lit("shape "), _shape(F.col(f"{c}.value"))))
+
+
+def plain_words(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, plain): about how many different words that are no identifiers stand in the place of a pattern.
+
+    ``patterns`` has the wanted patterns once each; it is broadcast, so that no word of the texts is exchanged. The
+    number is a HyperLogLog estimate with a deviation of 5 %, near exact for small ones.
+    """
+    words = texts.select(F.array_remove(F.split(F.lower("text"), BLANKS), "").alias("words")).where(F.size("words") > 1)
+    n = F.size("words") - 1
+    pairs = words.select(F.explode(F.arrays_zip(F.slice("words", 1, n).alias("b"), F.slice("words", 2, n).alias("a"))).alias("w"))
+    before = F.struct(F.concat(F.lit("before "), F.right("w.b", F.lit(CONTEXT))).alias("pattern"), F.col("w.a").alias("word"))
+    after = F.struct(F.concat(F.lit("after "), F.left("w.a", F.lit(CONTEXT))).alias("pattern"), F.col("w.b").alias("word"))
+    seen = pairs.select(F.explode(F.array(before, after)).alias("s")).select("s.pattern", "s.word")
+    held = seen.join(F.broadcast(patterns), "pattern", "left_semi")
+    return held.groupBy("pattern").agg(F.approx_count_distinct(F.when(~F.col("word").rlike(MAY_HOLD), F.col("word"))).alias("plain"))
 
 
-def trusted_patterns(seen: DataFrame, rounds: int, support: int, precision: float) -> DataFrame:
+def trusted_patterns(seen: DataFrame, rounds: int, support: int, precision: float, texts: DataFrame | None = None) -> DataFrame:
     """(pattern, rank): patterns that name one kind, by mutual scoring of patterns and instances.
 
     ``seen`` has (instance, pattern, rank), rank null where the instance is no seed. A pattern's score for a kind is
     the mean score of its distinct instances; a seed scores one for its kind and zero for others; any other instance
-    scores the mean of its patterns. Trusted patterns reach ``precision`` and hold ``support`` different seeds.
+    scores the mean of its patterns; each different plain word of ``texts`` in a pattern's place scores zero. Trusted
+    patterns reach ``precision`` and hold ``support`` different seeds; those with fewer seeds score zero.
     """
     edges = cut_lineage(seen.groupBy("instance", "pattern").agg(F.min("rank").alias("rank")))
-    seeds = edges.where("rank is not null").groupBy("pattern", "rank").agg(F.count("*").alias("seeds"))
+    seeds = edges.where("rank is not null").groupBy("pattern", "rank").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    # Only these can be trusted or pass a score on; the others score zero in every round.
     base = cut_lineage(seeds.join(sizes, "pattern"))
+    if texts is not None:
+        words = plain_words(texts, base.where("pattern not like 'shape %'").select("pattern").distinct())
+        base = cut_lineage(base.join(words, "pattern", "left").select("pattern", "rank", "seeds", (F.col("n") + F.coalesce("plain", F.lit(0))).alias("n")))
     scores = base.select("pattern", "rank", "seeds", "n", (F.col("seeds") / F.col("n")).alias("score"))
     unknown = edges.where("rank is null").select("instance", "pattern")
     degree = unknown.groupBy("instance").agg(F.count("*").alias("degree"))
@@ -128,7 +180,7 @@ def trusted_patterns(seen: DataFrame, rounds: int, support: int, precision: floa
         scores = cut_lineage(
             base.join(gained, ["pattern", "rank"], "left").select("pattern", "rank", "seeds", "n", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("n")).alias("score"))
         )
-    return scores.where((F.col("seeds") >= support) & (F.col("score") >= precision)).select("pattern", "rank")
+    return scores.where(F.col("score") >= precision).select("pattern", "rank")
 
 
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, support: int = 5, precision: float = 0.8) -> DataFrame:
@@ -140,21 +192,22 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
     """
     plain = take(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.xxhash64("doc_id", "text").alias("key")
-    base = F.array_sort(F.concat(*[base_spans(F.col("text"), k) for k in KINDS]))
-    rows = cut_lineage(plain.select("doc_id", key, base.alias("base"), _candidates(F.col("text")).alias("found")))
-
-    # A candidate that a base span touches is a seed of that span's kind, as a whole or not at all.
-    one = rows.where(F.size("found") > 0).select("doc_id", "key", "base", F.explode("found").alias("c"))
-    touching = F.filter("base", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start")))
-    shape = _shape(F.col("c.value"))
-    both = F.array(F.concat(F.lit("before "), "c.before", F.lit(" "), shape), F.concat(F.lit("after "), "c.after", F.lit(" "), shape))
-    rank = F.get(touching, F.lit(0))["rank"].alias("rank")
-    occurrences = one.select("doc_id", "key", "c.start", "c.end", F.lower("c.value").alias("instance"), rank, F.explode(both).alias("pattern"))
-    trusted = trusted_patterns(occurrences.select("instance", "pattern", "rank"), rounds, support, precision)
-    fresh = occurrences.where("rank is null").join(trusted.withColumnRenamed("rank", "kind"), "pattern")
+    seeds = F.array_sort(F.concat(*[_base(F.col("text"), k) for k in KINDS]))
+    rows = cut_lineage(plain.select("doc_id", key, seeds.alias("seeds"), _candidates(F.col("text")).alias("found")))
+    base = F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+
+    # Whole base spans are the seeds; a candidate that one touches is none.
+    seed = rows.where(F.size("seeds") > 0).select(F.explode("seeds").alias("c"))
+    one = rows.where(F.size("found") > 0).select("doc_id", "key", "seeds", F.explode("found").alias("c"))
+    one = one.where(~F.exists("seeds", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start"))))
+    occurrences = one.select("doc_id", "key", "c.start", "c.end", F.col("c.value").alias("instance"), F.explode(_patterns("c")).alias("pattern"))
+    known = seed.select(F.col("c.value").alias("instance"), F.explode(_patterns("c")).alias("pattern"), "c.rank")
+    seen = known.unionByName(occurrences.select("instance", "pattern", F.lit(None).cast("int").alias("rank")))
+    trusted = trusted_patterns(seen, rounds, support, precision, plain.select("text")).where("pattern not like 'shape %'")
+    fresh = occurrences.join(trusted.withColumnRenamed("rank", "kind"), "pattern")
     named = fresh.groupBy("doc_id", "key", "start", "end").agg(F.min("kind").alias("rank"))
     more = named.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("more")).withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
-    joined = rows.join(more, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = rows.select("doc_id", "key", base.alias("base")).join(more, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))
     return joined.select("doc_id", "key", "base", spans.alias("spans"))
 

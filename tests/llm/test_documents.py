@@ -286,6 +286,22 @@ def test_bootstrap_finds_unseen_identifiers_only_in_trusted_contexts(spark):
     assert all("@" not in clean[i] and "[EMAIL]" in clean[i] for i in range(40)) and clean[102] is None and clean[101] == rows[41][1]
 
 
+def test_bootstrap_names_every_unseen_form_in_its_context(spark):
+    rng = random.Random(3)
+    say = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet".split()) for _ in range(6))
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [(i, f"{say()} mailto: {name(i)}.doe@example.com {say()} tel: +1 (521) 555-{2000 + i} {say()}") for i in range(40)]
+    # The word "to" holds more plain words than seeds, so it names nothing.
+    rows += [(50 + i, f"go to {name(i)}.roe@example.com or to {name(300 + i)} and to {name(500 + i)}") for i in range(12)]
+    unseen = [("email", "mailto:", "user7@localhost1"), ("email", "mailto:", "jane@intranet"), ("email", "mailto:", "acct_88"), ("phone", "tel:", "555-123-4567"), ("phone", "tel:", "(555) 123 4567")]
+    rows += [(100 + i, f"{say()} {word} {value}, {say()}") for i, (_, word, value) in enumerate(unseen)]
+    rows += [(200, f"{say()} to room-7 {say()}"), (201, f"{say()} {unseen[0][2]} {say()}")]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, (kind, word, value) in enumerate(unseen):
+        assert value in rows[52 + i][1] and f" {word} [{kind.upper()}], " in got[100 + i], got[100 + i]
+    assert got[200] == rows[57][1] and got[201] == rows[58][1]
+
+
 def test_trusted_patterns(spark):
     seen = [(f"s{i}", "p", 0) for i in range(8)] + [("new", "p", None)] + [(f"s{i}", "q", 0) for i in range(3)] + [(f"t{i}", "q", 1) for i in range(3)]
     got = pii.trusted_patterns(spark.createDataFrame(seen, "instance string, pattern string, rank int"), 3, 5, 0.8).collect()

@@ -70,8 +70,8 @@ def text_fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
     return majority_bits(h, np.concatenate([[0], np.cumsum(counts)]))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the SimHash of each row's text as a long.
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): the SimHash of each row's text as a long; with ``hashed`` also ``hash``, XXH64 of the text.
 
     Texts are lower-cased (A-Z), cut at ASCII white space, and shingled by ``shingle`` words, repeats included; a text
     of fewer words is one shingle, a text without words or null has fingerprint zero. A shingle hashes by XXH64 with
@@ -81,10 +81,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = text_fingerprints(batch.column(1), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            more = [batch.column(2)] if hashed else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *more], ["doc_id", "fp", "hash"][: 2 + len(more)])
 
     plain = take(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return plain.mapInArrow(work, "doc_id long, fp long")
+    if hashed:
+        plain = plain.withColumn("hash", F.xxhash64("text"))
+    return plain.mapInArrow(work, "doc_id long, fp long" + ", hash long" * hashed)
 
 
 def _deal(batches: Iterable[pa.RecordBatch], buckets: int, segments: int) -> Iterator[pa.RecordBatch]:
@@ -155,6 +158,12 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return by_group(dealt, "bucket", lambda table: _links(table, max_bits), "a long, b long").distinct()
 
 
+def _groups(classes: DataFrame, max_bits: int) -> DataFrame:
+    """``classes``, one row for each fingerprint, with the component of each."""
+    linked = components(fingerprint_links(classes.select("fp"), max_bits))
+    return classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row: near-duplicate groups over linked fingerprints.
 
@@ -162,18 +171,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     it: a group of such rows alone has a null component_id. Repeated rows fall in one group; an empty table gives none.
     """
     rows = cut_lineage(fingerprints(docs, doc_id, text, shingle))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    linked = components(fingerprint_links(classes.select("fp"), max_bits))
-    named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = _groups(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), max_bits)
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     return rows.join(named.join(lowest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each near-duplicate group, the one with the smallest doc_id.
 
-    Repeated rows of that id collapse to one. Rows without an id stay only if their group has no row with an id.
+    Among several of that id, or in a group without any id, the text with the smallest hash stays, once. Texts of one
+    id that are in different groups are different documents.
     """
-    found = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, docs[doc_id].eqNullSafe(found["_kept"]), "left_semi")
-    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.where(F.col(doc_id).isNull()))
+    rows = cut_lineage(fingerprints(docs, doc_id, text, hashed=True))
+    named = _groups(rows.select("fp").distinct(), max_bits)
+    choice = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash")
+    best = rows.join(named, "fp").groupBy("component").agg(F.min(choice).alias("best"))
+    found = best.select(F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_hash")).distinct()
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    id_, body = f"_c{names.index(doc_id)}", f"_c{names.index(text)}"
+    plain = plain.withColumns({"_key": F.col(id_).cast("long"), "_text": F.xxhash64(body)})
+    kept = plain.join(found, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_key", "_text"]).drop("_key", "_text").toDF(*names)

@@ -122,6 +122,17 @@ def test_simhash_groups(planted, planted_texts, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_one_of_each_simhash_group_stays(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = a + "\n"
+    # Rows without an id: beside one with an id, alone in a group of two, alone. One id with two different texts.
+    rows = [(1, a), (None, near), (None, b), (None, b + " "), (None, c), (7, d), (7, e), (7, e), (9, d)]
+    got = [(r.doc_id, r.text.strip()) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (None, b), (None, c), (7, d), (7, e)], key=str)
+
+
 def test_hamming_links_are_complete(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]

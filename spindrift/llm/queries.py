@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors, chat, itq, licenses, packing, pii, quality, simhash, suffixes, tokens
@@ -48,10 +48,15 @@ def op3_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents."""
     found = pii.find_spans(_read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    counts = [_of_rank(i).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def _of_rank(rank: int) -> Column:
+    """How many base spans are of one kind."""
+    return F.size(F.filter("base", lambda span: span["rank"] == F.lit(rank)))
+
+
 def op5_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents without 20-word runs that start earlier."""
     found = anchors.remove_repeats(_read(spark, sf_dir, "documents"))
@@ -162,9 +167,9 @@ ORACLES: dict[str, str] = {
         ), h AS (
             SELECT doc_id, hex(body) AS x, octet_length(body) AS n FROM d
         ), p AS (
-            SELECT doc_id, at, substr(x, 2 * at + 1, 1122) AS y FROM (SELECT doc_id, x, unnest(range(0, n, 512)) AS at FROM h)
+            SELECT doc_id, place, substr(x, 2 * place + 1, 1122) AS y FROM (SELECT doc_id, x, unnest(range(0, n, 512)) AS place FROM h)
         ), s AS (
-            SELECT doc_id, at + i AS i, md5_number(substr(y, 2 * i + 1, 100)) AS k
+            SELECT doc_id, place + i AS i, md5_number(substr(y, 2 * i + 1, 100)) AS k
             FROM (SELECT *, unnest(range(0, least(512, length(y) // 2 - 49))) AS i FROM p)
         ), f AS (
             SELECT k, min(doc_id) AS first FROM s GROUP BY k

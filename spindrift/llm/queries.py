@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, chat, itq, licenses, packing, pii, quality, simhash, suffixes, tokens
+from . import anchors, chat, itq, licenses, manifest, packing, pii, quality, simhash, suffixes, tokens
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -97,6 +97,19 @@ def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "score")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and roots of all documents; every fifth by a hash of its id is checked with a lower-cased text."""
+
+    def lowered(v: dict[str, Column]) -> dict[str, Column]:
+        chosen = F.crc32(v["doc_id"].cast("string")) % 5 == 0
+        return {"text": F.when(chosen, manifest.lower_ascii(v["text"])).otherwise(v["text"])}
+
+    found = manifest.merkle_manifest(_read(spark, sf_dir, "documents"), claims=lowered)
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_license_scan": op2_license_scan,
@@ -108,8 +121,57 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_quality_forest": op10_quality_forest,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+
+
+def _manifest_sql(levels: int = 8) -> str:
+    """Level by level; ``levels`` suffice for 16 to that power of rows."""
+    framed = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+
+    def leaf(text: str) -> str:
+        return f"sha256({framed} || coalesce(strlen({text}) || ':' || {text}, '-'))"
+
+    bits = "list_reduce([xor(crc, b)] || list_transform(range(8), lambda j: j::UBIGINT), lambda c, j: xor(c >> 1, (c & 1) * 3988292384))"
+    digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)"
+    crc = f"xor(list_reduce([4294967295::UBIGINT] || {digits}, lambda crc, b: {bits}), 4294967295::UBIGINT)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"""d AS (SELECT doc_id, coalesce('s' || source, 'n') AS s, {leaf("text")} AS leaf,
+            {leaf(f"CASE WHEN {crc} % 5 = 0 THEN {lowered} ELSE text END")} AS claimed FROM documents)""",
+        """r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM d)""",
+        "a0 AS (SELECT s, i, n, leaf AS h FROM r)",
+    ]
+    for t, first in (("a", "s"), ("b", "")):
+        keys = f"{first}, " if first else ""
+        if t == "b":
+            steps.append(f"b0 AS (SELECT s AS name, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n, h FROM a{levels})")
+        for k in range(levels):
+            run = f"list(h) OVER (PARTITION BY {keys}i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+            steps.append(f"{t}{k}r AS (SELECT *, i // 16 AS up, i % 16 AS p, CASE WHEN n > 1 THEN {run} END AS run FROM {t}{k})")
+            steps.append(f"{t}{k + 1} AS (SELECT {keys}up AS i, (n + 15) // 16 AS n, coalesce(sha256(array_to_string(any_value(run), '')), any_value(h)) AS h FROM {t}{k}r GROUP BY {keys}up, n)")
+    previous = "r"
+    fields = "doc_id, s, leaf, claimed AS f, '' AS proof, i"
+    for t in "ab":
+        if t == "b":
+            steps.append(f"fb AS (SELECT x.doc_id, x.s, x.leaf, x.f, x.proof, b0.i, b0.h AS subroot FROM {previous} x JOIN b0 ON b0.name = x.s)")
+            previous, fields = "fb", "doc_id, s, leaf, subroot, f, proof, i"
+        for k in range(levels):
+            same = "x.s = q.s AND " if t == "a" else ""
+            kept = "x.doc_id, x.s, x.leaf, " + ("x.subroot, " if t == "b" else "")
+            steps.append(
+                f"""f{t}{k} AS (SELECT {kept}CASE WHEN q.run IS NULL THEN x.f ELSE sha256(array_to_string(q.run[1:p], '') || x.f || array_to_string(q.run[p + 2:], '')) END AS f,
+                x.proof || coalesce(array_to_string(q.run[1:p] || q.run[p + 2:], ''), '') AS proof, q.up AS i
+                FROM (SELECT {fields} FROM {previous}) x JOIN {t}{k}r q ON {same}x.i = q.i)"""
+            )
+            previous = f"f{t}{k}"
+            fields = "doc_id, s, leaf, " + ("subroot, " if t == "b" else "") + "f, proof, i"
+    return f"""WITH {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps)}
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+        FROM {previous}, (SELECT h AS root FROM b{levels})"""
+
+
 #: DuckDB SQL where it can state the result. Fuzzy patterns, seeded XXH64, byte-level merges, the bootstrap, column
 #: generation and the forest have none; those queries are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -192,4 +254,5 @@ ORACLES: dict[str, str] = {
         SELECT h.doc_id, h.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
             sha256(unhex(coalesce(kept.x, h.x))) AS kept_sha256
         FROM h LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_merkle_manifest": _manifest_sql(),
 }

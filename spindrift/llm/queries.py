@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, chat, itq, licenses, manifest, packing, pii, quality, simhash, suffixes, tokens
+from . import anchors, chat, itq, licenses, manifest, packing, phrases, pii, quality, simhash, suffixes, tokens, toxicity
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -97,6 +97,16 @@ def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language."""
+    return phrases.collocations(_read(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, proofs and roots of all documents; every fifth by a hash of its id is checked with a lower-cased text."""
 
@@ -121,6 +131,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_quality_forest": op10_quality_forest,
+    "op11_toxicity": op11_toxicity,
+    "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -254,5 +266,32 @@ ORACLES: dict[str, str] = {
         SELECT h.doc_id, h.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
             sha256(unhex(coalesce(kept.x, h.x))) AS kept_sha256
         FROM h LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)
+        ), w AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS words
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k))
+        ), f AS (
+            SELECT lang, k, phrase, any_value(words) AS words, count(*) AS n FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100
+        ), totals AS (
+            SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+        ), cuts AS (
+            SELECT lang, phrase, words, n AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.a, x.n AS l, y.n AS r, t.n, cut, ((1000::HUGEINT * c.a * t.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+            FROM cuts c JOIN totals t USING (lang) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[:cut], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[cut + 1:], ' ')
+        ), best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ), held AS (
+            SELECT DISTINCT s.lang, s.phrase FROM f s JOIN f b ON s.lang = b.lang AND b.k > s.k AND s.k > 1 AND 100 * b.n >= 100 * s.n
+            AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best ANTI JOIN held USING (lang, phrase) QUALIFY rank <= 2000""",
     "op13_merkle_manifest": _manifest_sql(),
 }

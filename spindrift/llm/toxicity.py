@@ -3,7 +3,7 @@
 A text's features are the hashed n-grams that occur in it, each once. Every n-gram gets the log ratio of its smoothed
 shares in toxic and in other labelled texts; a ratio that lies within a few standard errors of zero counts as zero, so
 that what chance alone explains takes no part. A logistic regression over the features times their ratios is then fitted
-by full gradients: each step is one job over the sample's feature table, and only sums return to the driver.
+by full gradients: each step is one job over the sample's packed features, and only sums return to the driver.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ BITS = 18
 SLICE = 1 << 17
 
 #: Tasks over the sample, whose size is bounded.
-SAMPLE_TASKS = 16
+SAMPLE_TASKS = 8
 
 _FIRST, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -61,14 +61,27 @@ def present(column: pa.Array, use: np.ndarray | None = None) -> tuple[np.ndarray
         while width < order:
             gram = gram[:-1] * _NEXT + h[width:] if len(gram) > 1 else gram[:0]
             width += 1
-        place = np.arange(len(gram))
-        feature = (mix(gram) >> np.uint64(64 - BITS)).astype(np.int64)
-        chosen = place + width <= last[: len(gram)]
+        feature = (mix(gram) >> np.uint64(64 - BITS)).astype(np.int32)
+        chosen = np.arange(width, width + len(gram)) <= last[: len(gram)]
         if use is not None:
             chosen &= use[feature]
-        found.append((rows[: len(gram)][chosen] << BITS) | feature[chosen])
-    keys = np.unique(np.concatenate(found))
-    return keys >> BITS, keys & ((1 << BITS) - 1)
+        found.append((rows[: len(gram)][chosen], feature[chosen]))
+    if use is not None:
+        keys = np.unique(np.concatenate([(r << BITS) | f for r, f in found]))
+        return keys >> BITS, keys & ((1 << BITS) - 1)
+    return _distinct(found, len(column))
+
+
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature of a row once, from lists of (row, feature) in order of the row, without sorting."""
+    cuts = [np.searchsorted(r, np.arange(n + 1)) for r, _ in found]
+    place, out = np.zeros(1 << BITS, np.int32), [np.zeros(0, np.int32)]
+    for i in range(n):
+        features = np.concatenate([f[c[i] : c[i + 1]] for (_, f), c in zip(found, cuts, strict=True)])
+        at = np.arange(len(features), dtype=np.int32)
+        place[features] = at
+        out.append(features[place[features] == at])
+    return np.repeat(np.arange(n), [len(x) for x in out[1:]]), np.concatenate(out)
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,34 +109,30 @@ def log_count_ratios(counts: np.ndarray, texts: np.ndarray, smooth: float = 1.0,
 
 @dataclass
 class Classifier:
-    """Ratios of the features, weights on the scaled ones, and the intercept."""
+    """The value of each feature, which is its ratio times its weight, and the intercept."""
 
-    ratio: np.ndarray
-    weight: np.ndarray
+    value: np.ndarray
     intercept: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """Probability that a text is toxic; an empty one has none of the features."""
-        row, feature = present(column, self.ratio != 0)
-        total = np.bincount(row, (self.ratio * self.weight)[feature], len(column))
-        return logistic(total + self.intercept)
+        row, feature = present(column, self.value != 0)
+        return logistic(np.bincount(row, self.value[feature], len(column)) + self.intercept)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def loss_and_gradient(features: pa.Array, label: np.ndarray, scaled: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
-    """Logistic loss of rows of feature numbers, summed, and its gradient; the last weight is the intercept.
+def loss_and_gradient(number: np.ndarray, ends: np.ndarray, label: np.ndarray, scaled: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic loss, summed, and its gradient for rows whose feature numbers end at ``ends``; the last weight is the intercept.
 
     ``scaled`` holds the ratios of the numbered features.
     """
-    number = features.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(features)), pc.list_value_length(features).to_numpy(zero_copy_only=False))
-    z = np.bincount(row, (scaled * weight[:-1])[number], len(features)) + weight[-1]
-    p = logistic(z)
+    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    z = np.bincount(row, (scaled * weight[:-1])[number], len(ends)) + weight[-1]
     loss = float(np.sum(np.logaddexp(0, z) - label * z))
-    slope = p - label
+    slope = logistic(z) - label
     return loss, np.append(np.bincount(number, slope[row], len(scaled)) * scaled, slope.sum())
 
 
@@ -156,14 +165,14 @@ def minimise(start: np.ndarray, value: Callable[[np.ndarray], tuple[float, np.nd
             break
         if (new - x) @ (g_new - g) > 1e-12:
             past = [*past, (new - x, g_new - g)][-memory:]
-        done = f - f_new < 1e-7 * max(1.0, abs(f))
+        done = f - f_new < 1e-5 * max(1.0, abs(f))
         x, f, g = new, f_new, g_new
         if done:
             break
     return x
 
 
-def train(texts: DataFrame, penalty: float = 1.0, steps: int = 40) -> Classifier:
+def train(texts: DataFrame, penalty: float = 1.0, steps: int = 30) -> Classifier:
     """Fit the classifier to (text, label) rows, of which there must be a bounded number; see :func:`toxicity`.
 
     Without rows of both classes every score is the share of toxic rows, one half without any row.
@@ -176,7 +185,7 @@ def train(texts: DataFrame, penalty: float = 1.0, steps: int = 40) -> Classifier
     ratio = log_count_ratios(counts, held)
     prior = math.log((held[1] + 0.5) / (held[0] + 0.5))
     if not held.all() or not ratio.any():
-        return Classifier(np.zeros(size), np.zeros(size), prior)
+        return Classifier(np.zeros(size), prior)
     used = np.flatnonzero(ratio)
     number = np.full(size, -1, np.int32)
     number[used] = np.arange(len(used))
@@ -184,19 +193,22 @@ def train(texts: DataFrame, penalty: float = 1.0, steps: int = 40) -> Classifier
     def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             row, feature = present(batch.column(batch.schema.get_field_index("text")), number >= 0)
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[feature]))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), lists], ["label", "features"])
+            label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
+            ends = np.searchsorted(row, np.arange(batch.num_rows), "right")
+            packed = [x.astype(kind).tobytes() for x, kind in ((label, np.int8), (ends, np.int32), (number[feature], np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["labels", "ends", "numbers"])
 
-    rows = cut_lineage(texts.mapInArrow(numbered, "label long, features array<int>"))
+    rows = cut_lineage(texts.mapInArrow(numbered, "labels binary, ends binary, numbers binary"))
     scaled = ratio[used]
 
     def value(weight: np.ndarray) -> tuple[float, np.ndarray]:
         def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, gradient = 0.0, np.zeros(len(weight))
             for batch in batches:
-                more, part = loss_and_gradient(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False), scaled, weight)
-                loss, gradient = loss + more, gradient + part
+                for packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    label, ends, numbers = (np.frombuffer(x, kind) for x, kind in zip(packed, (np.int8, np.int32, np.int32), strict=True))
+                    more, part = loss_and_gradient(numbers, ends, label, scaled, weight)
+                    loss, gradient = loss + more, gradient + part
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()], pa.binary())], ["loss", "gradient"])
 
         parts = sorted(rows.mapInArrow(partial, "loss double, gradient binary").collect())
@@ -205,9 +217,9 @@ def train(texts: DataFrame, penalty: float = 1.0, steps: int = 40) -> Classifier
         return loss, sum(np.frombuffer(p.gradient) for p in parts) + penalty * np.append(weight[:-1], 0)
 
     best = minimise(np.append(np.zeros(len(used)), prior), value, steps)
-    weight = np.zeros(size)
-    weight[used] = best[:-1]
-    return Classifier(ratio, weight, float(best[-1]))
+    found = np.zeros(size)
+    found[used] = scaled * best[:-1]
+    return Classifier(found, float(best[-1]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int) -> DataFrame:
@@ -227,7 +239,7 @@ def crc_remainder(doc_id: Column, divisor: int) -> Column:
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 4, fold: int = 2, sample: int = 40_000, penalty: float = 1.0, limit: float = 0.3
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 4, fold: int = 2, sample: int = 20_000, penalty: float = 1.0, limit: float = 0.3
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``; labels come as (doc_id, toxic).
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, combined_text
-from ..operators import features, search, similarity, tfidf, vectors
+from ..functions.catalog import document_predicate
+from ..operators import features, index, search, similarity, tfidf, vectors
 from ..sources import tables
 from .base import add_view, query
 from .cleaning_queries import clean
+from .source_queries import scratch
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
@@ -190,9 +192,13 @@ QUALIFY rank <= 50""",
 )
 
 
+def benchmark_queries(spark, sf):
+    return tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def search_batch(spark, sf, n):
-    queries = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.text_search(tables.table(spark, sf, "documents"), queries, n)
+    built = index.build_index(tables.table(spark, sf, "documents"), scratch(spark, "index"))
+    return index.search_index(built, benchmark_queries(spark, sf), n).hits.withColumnRenamed("key", "doc_id")
 
 
 @query("text_search", "SELECT query_id, doc_id, score, rank FROM bm25 WHERE rank <= 10")
@@ -200,6 +206,68 @@ def _(spark, sf):
     return search_batch(spark, sf, 10)
 
 
+# One request for every benchmark text: filters as in a search form, a page, the total and facets.
+REQUEST = {"category": ["Brand#11", "Brand#13", "Brand#22", "Brand#34", "Brand#45"], "year": {"min": 1960, "max": 2010}}
+add_view(
+    "matched",
+    f"""
+WITH d AS (SELECT item_id AS doc_id, {tokens_sql("title || ' ' || description")} AS w,
+                  category, genre, language, year, rating FROM content),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({tokens_sql("text")}) AS term FROM benchmark),
+p AS (SELECT doc_id, length, term, count(*) AS tf FROM (
+  SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+f AS (SELECT term, ln(((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM p GROUP BY term)
+SELECT query_id, doc_id, any_value(category) AS category, any_value(genre) AS genre, any_value(language) AS language,
+       any_value(rating) AS rating, round(sum(idf * tf * 2.2
+         / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT avg(len(w)) FROM d)))), 6) AS score
+FROM q JOIN p USING (term) JOIN f USING (term) JOIN d USING (doc_id)
+WHERE category IN ('Brand#11', 'Brand#13', 'Brand#22', 'Brand#34', 'Brand#45') AND year BETWEEN 1960 AND 2010
+GROUP BY query_id, doc_id""",
+)
+
+
+def search_catalog(spark, sf, **request):
+    items = tables.content(spark, sf, with_text=True).withColumn("text", combined_text("title", "description"))
+    built = index.build_index(items, scratch(spark, "catalog"), "item_id", attributes=("category", "genre", "language", "year", "rating"))
+    return index.search_index(built, benchmark_queries(spark, sf), where=document_predicate(REQUEST, ()), **request)
+
+
+@query(
+    "search_request",
+    """
+SELECT query_id, doc_id, score, rank, total FROM (
+  SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+         count(*) OVER (PARTITION BY query_id) AS total FROM matched) WHERE rank BETWEEN 6 AND 25""",
+)
+def _(spark, sf):
+    """The second page of filtered requests with the total of each."""
+    found = search_catalog(spark, sf, top=20, skip=5, total=True)
+    return found.hits.join(found.totals, "query_id").withColumnRenamed("key", "doc_id")
+
+
+@query(
+    "search_request_facets",
+    """
+SELECT query_id, facet, value, count(*) AS count FROM (
+  SELECT query_id, unnest(['genre', 'language', 'category']) AS facet, unnest([genre, language, category]) AS value FROM matched)
+WHERE value IS NOT NULL GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Facet counts over all matches of each request."""
+    return search_catalog(spark, sf, facets=("genre", "language", "category")).facets
+
+
+@query(
+    "search_request_by_rating",
+    """
+SELECT query_id, doc_id, rating AS score, CAST(row_number() OVER (
+         PARTITION BY query_id ORDER BY rating DESC NULLS LAST, doc_id) AS INTEGER) AS rank FROM matched QUALIFY rank <= 20""",
+)
+def _(spark, sf):
+    """Requests sorted by an attribute instead of the score."""
+    return search_catalog(spark, sf, top=20, order_by="rating").hits.withColumnRenamed("key", "doc_id")
+
+
 add_view(
     "nearest",
     """

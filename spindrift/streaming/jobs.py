@@ -6,17 +6,18 @@ here, Kafka or another connector on a cluster.
 
 from __future__ import annotations
 
-import threading
 import uuid
-from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.cleaning import validate_events
 from ..operators.monitoring import alerts, metric_rows
@@ -31,6 +32,24 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
+#: Rows of one file of an ordered feed, at most about.
+FEED_ROWS = 2_000_000
+
+
+def ordered_feed(df: DataFrame, path: str, ts: str = "timestamp", batches: int = 4) -> DataFrame:
+    """The rows of ``df`` as a stream of at least ``batches`` files in the order of ``ts``, one file a micro-batch.
+
+    A file source takes files by their time of change, so the ranges of one sorted table are appended one by one.
+    """
+    spark = df.sparkSession
+    staged = f"{path}-staged-{uuid.uuid4().hex}"
+    batches = max(batches, -(-df.count() // FEED_ROWS))
+    df.repartitionByRange(batches, ts).sortWithinPartitions(ts).write.parquet(staged)
+    for file in sorted(spark.read.schema(df.schema).parquet(staged).inputFiles()):
+        spark.read.schema(df.schema).parquet(file).coalesce(1).write.mode("append").parquet(path)
+    return file_stream(spark, path, df.schema, 1)
+
+
 def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
     """Cast to an instant (watermarks refuse zone-less timestamps) and set the watermark."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
@@ -92,9 +111,103 @@ def ingest_events(stream: DataFrame, valid_path: str, rejected_path: str, checkp
     return run_batches(checked, store, checkpoint)
 
 
-def dedup(stream: DataFrame, keys: Sequence[str] = ("user_id", "item_id", "timestamp"), delay: str = "10 minutes") -> DataFrame:
-    """First row per key; state for a key is dropped once the watermark passes it."""
-    return event_time(stream, "timestamp", delay).dropDuplicatesWithinWatermark(list(keys))
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which state variables and timers need."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+class FirstRows(StatefulProcessor):
+    """Per bucket of keys: the first row of each key, and every late row, marked.
+
+    The state of a bucket lists its keys with the time until which they are remembered. It is read once and written once
+    a batch. An event-time timer at the latest of these times forgets what has passed.
+    """
+
+    def __init__(self, delay_micros: int):
+        self.delay = delay_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getListState("seen", "key string, until long")
+
+    def _remembered(self, watermark: int) -> dict[str, int]:
+        return {key: until for key, until in self.seen.get() if until > watermark} if self.seen.exists() else {}
+
+    def _remember(self, known: dict[str, int]) -> None:
+        if known:
+            self.seen.put(list(known.items()))
+        else:
+            self.seen.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        known = self._remembered(watermark)
+        for part in rows:
+            late = part["micros"] <= watermark
+            timely = part[~late].sort_values("micros", kind="stable").drop_duplicates("key")
+            first = timely[~timely["key"].isin(known.keys())]
+            known |= dict(zip(first["key"], (first["micros"] + self.delay).tolist(), strict=True))
+            yield pd.concat([first.assign(late=False), part[late].assign(late=True)]).drop(columns=["bucket", "key"])
+        self._remember(known)
+        if known:
+            self.handle.registerTimer(max(known.values()) // 1000 + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self._remember(self._remembered(timerValues.getCurrentWatermarkInMs() * 1000))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def first_rows(
+    stream: DataFrame, keys: Sequence[str] = ("user_id", "item_id", "timestamp"), delay: str = "10 minutes", ts: str = "timestamp", buckets: int = 64
+) -> DataFrame:
+    """All columns and ``late``: the first row of each key, and the rows that come behind the watermark, repeats included.
+
+    A key is remembered until the watermark passes its first row's time by ``delay``. Spark's own operators drop late
+    rows; here the watermark column stays out of the operator, which gets the time as a number and marks them. Keys share
+    ``buckets`` states, a number that is fixed for the life of a checkpoint. Start the query inside :func:`rocks_state`.
+    """
+    names = stream.columns
+    kind = stream.schema[ts].dataType
+    timed = event_time(stream, ts, delay)
+    micros = F.unix_micros(F.col(ts))
+    key = F.to_json(F.struct(*[micros.alias(k) if k == ts else F.col(k) for k in keys]), {"ignoreNullFields": "false"})
+    plain = timed.select(micros.alias("micros"), key.alias("key"), *[c for c in names if c != ts]).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    made = T.StructType([T.StructField("micros", T.LongType()), *[stream.schema[c] for c in names if c != ts], T.StructField("late", T.BooleanType())])
+    delayed = stream.sparkSession.sql(f"SELECT CAST(unix_micros(timestamp_seconds(0) + INTERVAL {delay}) AS BIGINT)").first()[0]
+    found = plain.groupBy("bucket").transformWithStateInPandas(FirstRows(delayed), made, "Append", "EventTime")
+    return found.withColumn(ts, F.timestamp_micros("micros").cast(kind)).select(*names, "late")
+
+
+def split_late(marked: DataFrame, kept_path: str, late_path: str, checkpoint: str) -> StreamingQuery:
+    """Run :func:`first_rows`: first rows to one table, late ones to another, a folder for each batch.
+
+    A replayed batch overwrites its folders, so no row is doubled.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # both writes read one batch
+        for late, path in ((False, kept_path), (True, late_path)):
+            batch.filter(F.col("late") == late).drop("late").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
+
+    with rocks_state(marked.sparkSession):
+        return run_batches(marked, store, checkpoint)
 
 
 def trending(
@@ -169,12 +282,13 @@ def user_state(stream: DataFrame, item: str = "item_id", n: int = 5) -> DataFram
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, micros = (list(x) for x in state.get) if state.exists else ([], [])
+        items, micros = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [])))
         for rows in batches:
-            pairs = sorted([*zip(micros, items), *zip(rows["micros"], rows["item"])])[-n:]
-            micros, items = [int(m) for m, _ in pairs], [int(i) for _, i in pairs]
-        state.update((items, micros))
-        yield pd.DataFrame({"user_id": [key[0]], "items": [items]})
+            items, micros = np.append(items, rows["item"].to_numpy()), np.append(micros, rows["micros"].to_numpy())
+            last = np.lexsort((items, micros))[-n:]
+            items, micros = items[last], micros[last]
+        state.update((items.tolist(), micros.tolist()))
+        yield pd.DataFrame({"user_id": [key[0]], "items": [items.tolist()]})
 
     rows = stream.select(
         "user_id", F.col(item).cast("bigint").alias("item"),
@@ -183,42 +297,3 @@ def user_state(stream: DataFrame, item: str = "item_id", n: int = 5) -> DataFram
     return rows.groupBy("user_id").applyInPandasWithState(
         update, "user_id bigint, items array<bigint>", STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
     )
-
-
-class DroppedRows(StreamingQueryListener):
-    """Rows dropped behind the watermark, by run and batch; progress kept by a query ends after its last 100 batches."""
-
-    def __init__(self) -> None:
-        self.batches: dict[str, dict[int, int]] = {}
-        self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
-
-    def onQueryStarted(self, event: object) -> None:
-        pass
-
-    def onQueryProgress(self, event: object) -> None:
-        progress = event.progress
-        dropped = sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
-        self.batches.setdefault(str(progress.runId), {})[progress.batchId] = dropped
-
-    def onQueryTerminated(self, event: object) -> None:
-        self.ended[str(event.runId)].set()
-
-    def total(self, query: StreamingQuery, seconds: int = 60) -> int:
-        """The sum for a query that has ended, once all its events have arrived."""
-        if not self.ended[str(query.runId)].wait(seconds):
-            raise TimeoutError("the end of the stream was not reported")
-        return sum(self.batches.get(str(query.runId), {}).values())
-
-
-def late_events(stream: DataFrame, key: str, checkpoint: str, delay: str = "1 hour") -> tuple[int, int]:
-    """Run a keyed dedup and count (kept, dropped) rows; dropped rows were older than the watermark."""
-    kept = []
-    timed = event_time(stream, "timestamp", delay).dropDuplicatesWithinWatermark([key])
-    streams, listener = stream.sparkSession.streams, DroppedRows()
-    streams.addListener(listener)
-    try:
-        query = run_batches(timed, lambda batch, _: kept.append(batch.count()), checkpoint)
-        dropped = listener.total(query)
-    finally:
-        streams.removeListener(listener)
-    return sum(kept), dropped

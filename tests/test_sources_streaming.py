@@ -83,24 +83,52 @@ def test_user_state_keeps_the_last_items_over_batches(spark, tmp_path):
     assert out == {1: [3, 4, 5]}
 
 
-def test_late_rows_are_counted(spark, tmp_path):
-    schema = "event_id long, timestamp timestamp"
-    total = []
-    for events in ([(1, "2024-01-02 00:00"), (2, "2024-01-02 05:00")], [(3, "2024-01-01 00:00"), (4, "2024-01-02 04:30")]):
-        stream = feed(spark, tmp_path, [(i, datetime.datetime.fromisoformat(t)) for i, t in events], schema)
-        total.append(jobs.late_events(stream, "event_id", f"{tmp_path}/cp"))
-    assert total == [(2, 0), (1, 1)]
+def moments(events):
+    return [(i, datetime.datetime.fromisoformat(t)) for i, t in events]
 
 
-def test_late_rows_are_counted_beyond_the_kept_progress(spark, tmp_path):
+def test_first_and_late_rows_over_batches(spark, tmp_path):
     schema = "event_id long, timestamp timestamp"
-    late = [(3, "2024-01-01 00:00"), (4, "2024-01-01 01:00")]  # a batch filters by the watermark of the one before the last
-    for events in ([(1, "2024-01-02 05:00")], [(2, "2024-01-02 05:10")], late, [(5, "2024-01-02 05:20")], [(6, "2024-01-02 05:30")]):
-        feed(spark, tmp_path, [(i, datetime.datetime.fromisoformat(t)) for i, t in events], schema)
+    batches = [
+        [(1, "2024-01-02 00:00"), (2, "2024-01-02 05:00"), (2, "2024-01-02 05:00")],
+        [(3, "2024-01-01 00:00"), (3, "2024-01-01 00:00"), (2, "2024-01-02 04:30"), (4, "2024-01-02 05:10")],
+        [(1, "2024-01-02 08:00"), (5, "2024-01-02 04:10")],
+        [(2, "2024-01-02 07:30"), (None, "2024-01-02 07:40"), (None, "2024-01-02 07:50")],
+    ]
+    for events in batches:
+        feed(spark, tmp_path, moments(events), schema)
     stream = jobs.file_stream(spark, f"{tmp_path}/feed", spark.createDataFrame([], schema).schema, 1)
-    name = "spark.sql.streaming.numRecentProgressUpdates"
-    spark.conf.set(name, "1")
-    try:
-        assert jobs.late_events(stream, "event_id", f"{tmp_path}/cp") == (4, 2)
-    finally:
-        spark.conf.unset(name)
+    paths = [f"{tmp_path}/{name}" for name in ("kept", "late", "checkpoint")]
+    before = spark.conf.get(jobs.STATE_STORE, None)
+    query = jobs.split_late(jobs.first_rows(stream, ["event_id"], "1 hour"), *paths)
+    assert spark.conf.get(jobs.STATE_STORE, None) == before and len(query.recentProgress) >= 4
+    kept, late = ([(r.batch, r.event_id, str(r.timestamp)[5:16]) for r in spark.read.parquet(p).orderBy("batch", "event_id", "timestamp").collect()] for p in paths[:2])
+    # A first row stands for its key until the watermark, an hour behind, has passed it by an hour; a null key is a key.
+    assert kept == [
+        (0, 1, "01-02 00:00"), (0, 2, "01-02 05:00"), (1, 4, "01-02 05:10"), (2, 1, "01-02 08:00"), (3, None, "01-02 07:40"), (3, 2, "01-02 07:30"),
+    ]
+    assert late == [(1, 3, "01-01 00:00")] * 2
+
+
+def test_ordered_feed_comes_in_order_one_file_a_batch(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("event_id"), F.timestamp_seconds((F.col("id") * 7919) % 1000 * 60).alias("timestamp")).repartition(7)
+    stream = jobs.ordered_feed(rows, f"{tmp_path}/feed", batches=5)
+    spans = []
+
+    def note(batch, _):
+        r = batch.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n")).first()
+        spans.append((r.a, r.b, r.n))
+
+    jobs.run_batches(stream, note, f"{tmp_path}/cp")
+    assert len(spans) == 5 and sum(n for *_, n in spans) == 1000
+    assert all(before[1] < after[0] for before, after in zip(spans, spans[1:]))
+
+
+def test_restarted_dedup_goes_on_from_its_state(spark, tmp_path):
+    schema = "event_id long, timestamp timestamp"
+    paths = [f"{tmp_path}/{name}" for name in ("kept", "late", "checkpoint")]
+    for events in ([(1, "2024-01-02 00:00")], [(1, "2024-01-02 00:20"), (2, "2024-01-02 00:30")], [(3, "2024-01-01 23:00")]):
+        stream = feed(spark, tmp_path, moments(events), schema)
+        jobs.split_late(jobs.first_rows(stream, ["event_id"], "1 hour"), *paths)
+    assert sorted(r.event_id for r in spark.read.parquet(paths[0]).collect()) == [1, 2]
+    assert [r.event_id for r in spark.read.parquet(paths[1]).collect()] == [3]

@@ -244,10 +244,48 @@ def _(spark, sf):
     return both.select("id", F.size("val").alias("length"), F.lit(config["rank"]).alias("rank"), same)
 
 
+def scorer_samples(spark, sf):
+    return cut_lineage(samples.labelled_samples(ratings(spark, sf), tables.content(spark, sf)))
+
+
 @query("neural_scorer")
 def _(spark, sf):
-    """Accuracy and ranking quality on held-out samples; the factors see training positives only."""
-    rows = cut_lineage(samples.labelled_samples(ratings(spark, sf), tables.content(spark, sf)))
+    """Accuracy and ranking quality on held-out samples of the embeddings trained together with their network."""
+    rows = scorer_samples(spark, sf)
+    model = neural.train_joint(rows.filter("not is_test"))
+    return evaluation.binary_metrics(neural.score_joint(model, rows.filter("is_test")))
+
+
+@query(
+    "neural_scorer_facts",
+    f"""
+WITH s AS (SELECT user_id, item_id, 1 AS label, {SPLIT} < 20 AS is_test FROM ratings
+           UNION ALL SELECT user_id, item_id, 0, {SPLIT} < 20 FROM negatives),
+known AS (SELECT * FROM s WHERE is_test AND user_id IN (SELECT user_id FROM s WHERE NOT is_test)
+          AND item_id IN (SELECT item_id FROM s WHERE NOT is_test))
+SELECT user_id, count(*) AS scored, sum(label)::BIGINT AS positives, true AS probabilities, true AS same_as_rescored,
+       32 AS width, true AS loss_falls FROM known GROUP BY user_id""",
+)
+def _(spark, sf):
+    """Per user what any trained scorer must show; each score is computed again from the embedding rows by column functions."""
+    rows = scorer_samples(spark, sf)
+    model = neural.train_joint(rows.filter("not is_test"), epochs=2)
+    again = neural.logit_columns(model, neural.score_joint(model, rows.filter("is_test")))
+    near = F.abs(1 / (1 + F.exp(-F.col("logit"))) - F.col("score")) < 1e-9
+    return again.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.sum("label").alias("positives"),
+        F.bool_and(F.col("score").between(0, 1)).alias("probabilities"),
+        F.bool_and(near).alias("same_as_rescored"),
+        F.max("width").alias("width"),
+        F.lit(model.losses[-1] < model.losses[0]).alias("loss_falls"),
+    )
+
+
+@query("perceptron_scorer")
+def _(spark, sf):
+    """The same for a perceptron over factors learnt beforehand; the factors see training positives only."""
+    rows = scorer_samples(spark, sf)
     model = factors.als_train(rows.filter("not is_test and label = 1").withColumn("rating", F.lit(1.0)), rank=8, implicit=True)
     network = neural.train_scorer(rows, model, rank=8)
     return evaluation.binary_metrics(neural.score_pairs(network, rows.filter("is_test"), model))

@@ -107,7 +107,7 @@ def test_first_and_late_rows_over_batches(spark, tmp_path):
     assert kept == [
         (0, 1, "01-02 00:00"), (0, 2, "01-02 05:00"), (1, 4, "01-02 05:10"), (2, 1, "01-02 08:00"), (3, None, "01-02 07:40"), (3, 2, "01-02 07:30"),
     ]
-    assert late == [(1, 3, "01-01 00:00")] * 2
+    assert late == [(1, 3, "01-01 00:00")] * 2 + [(2, 5, "01-02 04:10")]
 
 
 def test_ordered_feed_comes_in_order_one_file_a_batch(spark, tmp_path):

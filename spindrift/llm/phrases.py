@@ -3,14 +3,16 @@
 Documents are dealt to shards. A shard keeps its words as numbers and indexes them twice, forwards and backwards: the
 Burrows-Wheeler transform of each direction holds the words beside every occurrence. A phrase is a pair of intervals, one
 in each index, and reading one transform inside its interval gives all its extensions on that side with their counts and
-intervals. Counts are summed across shards in hash buckets, which tell each shard what is frequent before it goes deeper:
-first words, then pairs of frequent words; what remains of the texts are chains of frequent pairs, in which the longer
-phrases are enumerated by turns to the left and to the right. Phrases travel as text, so sums are exact.
+intervals. Counts are summed across shards in hash buckets, which tell each shard what can be frequent before it goes
+deeper: first words, then pairs of such words; what remains of the texts are chains of such pairs, in which the longer
+phrases are enumerated by turns to the left and to the right. Until then sums by hash suffice, as a collision only adds;
+at last the phrases travel as text and their sums are exact.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,9 @@ from pyspark.sql.window import Window
 
 from spindrift.session import cut_lineage
 
-from .buffers import slices, span_hashes, take, text_bytes, word_spans
+from .buffers import mix, slices, span_hashes, take, text_bytes, word_spans
 from .graph import bucket_count, bucket_cuts, by_group, with_replies
-from .packed import REPLY, flags_for, replies_of
+from .packed import QUESTION, REPLY, answer, flags_for, replies_of, unpack_all
 
 #: Characters that end a piece, and those that end a word inside one.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -31,6 +33,9 @@ WORD_ENDS = b" \t"
 
 ASK = "slot int, bucket int, keys array<string>, counts array<long>"
 
+#: Occurrences that are extended at once.
+OCCURRENCES = 1 << 19
+
 #: The group of asks that holds the shards' word counts by language.
 TOTALS = -1
 
@@ -44,6 +49,7 @@ def _flags(chosen: bytes) -> np.ndarray:
 _PIECE, _OUTSIDE = _flags(PIECE_ENDS), _flags(PIECE_ENDS + WORD_ENDS)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def context_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -69,7 +75,7 @@ class Transform:
     def __init__(self, text: np.ndarray, depth: int):
         self.symbol = text[context_order(text, depth) - 1]
         order = np.argsort(self.symbol, kind="stable")
-        self.place = np.empty(len(order), np.int64)
+        self.place = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
         self.place[order] = np.arange(len(order))
 
 
@@ -89,9 +95,16 @@ class BidirectionalIndex:
     def __init__(self, text: np.ndarray, depth: int):
         if len(text) and (text[0] or text[-1]):
             raise ValueError("the text must begin and end with a zero")
-        self.size = int(text.max(initial=0)) + 1
+        self.text, self.depth, self.size = text, depth, int(text.max(initial=0)) + 1
         self.counts = np.bincount(text, minlength=self.size)
-        self.forward, self.backward = Transform(text, depth), Transform(text[::-1], depth)
+
+    @cached_property
+    def forward(self) -> Transform:
+        return Transform(self.text, self.depth)
+
+    @cached_property
+    def backward(self) -> Transform:
+        return Transform(self.text[::-1], self.depth)
 
     def words(self) -> Phrases:
         """The phrases of one symbol."""
@@ -114,6 +127,15 @@ class BidirectionalIndex:
 
         In the other direction's index the new intervals lie side by side inside the old ones, in order of the symbol.
         """
+        total, first, parts = np.cumsum(count), 0, [tuple(np.zeros(0, np.int64) for _ in range(5))]
+        while first < len(low):
+            last = max(first + 1, int(np.searchsorted(total, total[first] - count[first] + OCCURRENCES, "right")))
+            owner, *found = self._extend_some(side, low[first:last], other[first:last], count[first:last])
+            parts.append((owner + first, *found))
+            first = last
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _extend_some(self, side: Transform, low: np.ndarray, other: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
         heads = np.cumsum(count) - count
         owner = np.repeat(np.arange(len(low)), count)
         at = np.arange(len(owner)) + np.repeat(low - heads, count)
@@ -123,7 +145,7 @@ class BidirectionalIndex:
         fresh = np.flatnonzero(np.diff(key, prepend=-1))
         found = np.diff(np.append(fresh, len(key)))
         owner, symbol = key[fresh] // self.size, key[fresh] % self.size
-        own = side.place[at[order[fresh]]]
+        own = side.place[at[order[fresh]]].astype(np.int64)
         beside = other[owner] + fresh - heads[owner]
         inside = symbol > 0
         return owner[inside], symbol[inside], found[inside], own[inside], beside[inside]
@@ -162,7 +184,10 @@ class _Shard:
         pairs, sequence, count = np.unique(lang * np.int64(max(1, len(names))) + number, return_inverse=True, return_counts=True)
         self.words = names.take(pa.array(pairs % max(1, len(names))))
         keys = pc.binary_join_element_wise(code.dictionary.cast(pa.string()).take(pa.array(pairs // max(1, len(names)))), self.words, "\n")
-        order, self.h = _ordered(keys)
+        body, offsets = text_bytes(keys)
+        h = span_hashes(body, offsets[:-1], offsets[1:])
+        order = _ordered(keys, h)
+        self.h = h[order]
         self.keys, self.words, self.counts = keys.take(order), self.words.take(order), count[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(1, len(order) + 1)
@@ -172,21 +197,28 @@ class _Shard:
         self.text[place] = rank[sequence]
         self.totals = dict(zip(code.dictionary.to_pylist(), np.bincount(lang, minlength=len(code.dictionary)).tolist(), strict=True))
 
-    def pairs(self, frequent: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, hashes, counts and symbols of all pairs of frequent words, in a fixed order."""
+    def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, hashes and counts of all pairs of frequent words, in a fixed order."""
         known = np.concatenate([[False], frequent])
         self.text = _tidy(np.where(known[self.text], self.text, 0))
         used = np.unique(self.text)
-        dense = np.searchsorted(used, self.text)
+        dense = np.searchsorted(used, self.text).astype(np.int32)
         index = BidirectionalIndex(dense, 2)
         found = index.right(index.words())
-        symbols = used[found.symbols]
-        keys = self.phrase_keys(symbols)
-        order, h = _ordered(keys)
-        return keys.take(order), h, found.count[order], symbols[order]
-
-    def longer(self, pairs: np.ndarray, frequent: np.ndarray, longest: int) -> tuple[pa.Array, np.ndarray]:
-        """Keys and counts of the phrases of 3 to ``longest`` words all of whose pairs are frequent."""
+        return self.in_order(used[found.symbols], found.count)
+
+    def in_order(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of one length, their hashes and counts in an order that depends on nothing but the phrases."""
+        h = self.h[symbols[:, 0] - 1]
+        for c in symbols.T[1:]:
+            h = mix(h * _STEP + self.h[c - 1])
+        order = np.argsort(h, kind="stable")
+        if (h[order][1:] == h[order][:-1]).any():
+            order = _ordered(self.phrase_keys(symbols), h)
+        return symbols[order], h[order], counts[order]
+
+    def longer(self, pairs: np.ndarray, frequent: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Symbols, hashes and counts of the phrases of 3 to ``longest`` words all of whose pairs are frequent, by length."""
         base = np.int64(len(self.keys) + 1)
         wanted = np.sort(pairs[frequent, 0] * base + pairs[frequent, 1])
         here = self.text[:-1] * base + self.text[1:]
@@ -199,13 +231,12 @@ class _Shard:
         chains[place] = self.text
         chains = _tidy(chains)
         used = np.unique(chains)
-        index = BidirectionalIndex(np.searchsorted(used, chains), longest)
-        found, keys, counts = index.right(index.words()), [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+        index = BidirectionalIndex(np.searchsorted(used, chains).astype(np.int32), longest)
+        found, out = index.right(index.words()), []
         for n in range(3, longest + 1):
             found = index.left(found) if n % 2 else index.right(found)
-            keys.append(self.phrase_keys(used[found.symbols]))
-            counts.append(found.count)
-        return pa.concat_arrays(keys), np.concatenate(counts)
+            out.append(self.in_order(used[found.symbols], found.count))
+        return out
 
     def phrase_keys(self, symbols: np.ndarray) -> pa.Array:
         """The language, a line break, and the words joined by spaces."""
@@ -225,78 +256,69 @@ def _tidy(text: np.ndarray) -> np.ndarray:
     return text if not text[-1] else np.concatenate([text, [0]])
 
 
-def _ordered(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """An order of distinct keys that depends on nothing but them, by hash, and the hashes in that order."""
-    body, offsets = text_bytes(keys)
-    h = span_hashes(body, offsets[:-1], offsets[1:])
-    order = pc.sort_indices(pa.table({"h": pa.array(h), "key": keys}), [("h", "ascending"), ("key", "ascending")]).to_numpy()
-    return order, h[order]
-
-
-def _ask(slot: int, buckets: int, keys: pa.Array, h: np.ndarray, counts: np.ndarray, totals: dict[str, int] | None = None) -> pa.Table:
-    """One row for each bucket: its share of the keys, which are in order of their hash, and their counts."""
-    cuts, _ = bucket_cuts(h, buckets)
-    used = np.flatnonzero(np.diff(cuts))
-    ends = pa.array(np.append(cuts[used], len(h)), pa.int32())
-    rows = {"slot": pa.array(np.full(len(used), slot), pa.int32()), "bucket": pa.array(used, pa.int32())}
-    rows |= {"keys": pa.ListArray.from_arrays(ends, keys.cast(pa.string())), "counts": pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))}
-    table = pa.table(rows)
-    if totals:
-        more = {"slot": [slot], "bucket": [TOTALS], "keys": [list(totals)], "counts": [list(totals.values())]}
-        table = pa.concat_tables([table, pa.table(more, schema=table.schema)])
-    return table
+def _ordered(keys: pa.Array, h: np.ndarray) -> np.ndarray:
+    """The order of distinct keys by hash, and of those with one hash by themselves."""
+    return pc.sort_indices(pa.table({"h": pa.array(h), "key": keys}), [("h", "ascending"), ("key", "ascending")]).to_numpy()
 
 
 def _slot(table: pa.Table) -> int:
     return table.column("slot")[0].as_py()
 
 
-def _ask_words(table: pa.Table, buckets: int) -> pa.Table:
-    shard = _Shard(table)
-    return _ask(_slot(table), buckets, shard.keys, shard.h, shard.counts, shard.totals)
+def _ask_sums(slot: int, buckets: int, h: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """One row for each bucket: 32 bits of its hashes, which are in order, and their counts."""
+    cuts, _ = bucket_cuts(h, buckets)
+    used = np.flatnonzero(np.diff(cuts))
+    low, counts = h.astype(np.uint32), counts.astype(np.int32)
+    data = [low[cuts[i] : cuts[i + 1]].tobytes() + counts[cuts[i] : cuts[i + 1]].tobytes() for i in used]
+    return pa.table({"slot": pa.array(np.full(len(used), slot), pa.int32()), "bucket": pa.array(used, pa.int32()), "payload": pa.array(data, pa.binary())})
 
 
-def _ask_pairs(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+def _ask_words(table: pa.Table, buckets: int) -> pa.Table:
     shard = _Shard(table)
-    keys, h, counts, _ = shard.pairs(flags_for(shard.h, buckets, replies_of(replies, 1)))
-    return _ask(_slot(table), buckets, keys, h, counts)
+    return _ask_sums(_slot(table), buckets, shard.h, shard.counts)
 
 
-def _ask_longer(table: pa.Table, replies: pa.Table, buckets: int, longest: int) -> pa.Table:
+def _ask_pairs(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     shard = _Shard(table)
-    _, h, _, symbols = shard.pairs(flags_for(shard.h, buckets, replies_of(replies, 1)))
-    keys, counts = shard.longer(symbols, flags_for(h, buckets, replies_of(replies, 2)), longest)
-    order, h = _ordered(keys)
-    return _ask(_slot(table), buckets, keys.take(order), h, counts[order])
+    _, h, counts = shard.pairs(flags_for(shard.h, buckets, replies_of(replies, 1)))
+    return _ask_sums(_slot(table), buckets, h, counts)
 
 
-def _summed(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket side: distinct keys, their sums over all shards, the key of each ask, and the ends of the asks."""
-    code = table.column("keys").combine_chunks().flatten().dictionary_encode()
-    counts = table.column("counts").combine_chunks().flatten().to_numpy()
-    number = code.indices.to_numpy()
-    sums = np.zeros(len(code.dictionary), np.int64)
-    np.add.at(sums, number, counts)
-    return code.dictionary, sums, number, np.cumsum(pc.list_value_length(table.column("keys")).to_numpy())
+def _reply(table: pa.Table, least: int, stage: int) -> pa.Table:
+    """Bucket side: can what was asked be frequent over all shards? Sums by hash are never too small."""
+    (low, counts), ends = unpack_all(table, np.uint32, np.int32)
+    _, index = np.unique(low, return_inverse=True)
+    return answer(table, np.bincount(index, counts)[index] >= least, ends, stage)
 
 
-def _reply(table: pa.Table, least: int, stage: int) -> pa.Table:
-    """One bit for each key asked: is it frequent over all shards?"""
-    if table.column("bucket")[0].as_py() == TOTALS:
-        table = table.slice(0, 0)
-        bits = []
-    else:
-        _, sums, number, ends = _summed(table)
-        bits = [np.packbits(x).tobytes() for x in np.split(sums[number] >= least, ends[:-1])]
-    return pa.table({"slot": table.column("slot"), "bucket": table.column("bucket"), "stage": pa.array([stage] * len(bits), pa.int32()), "payload": pa.array(bits, pa.binary())})
+def _ask_phrases(table: pa.Table, replies: pa.Table, buckets: int, longest: int) -> pa.Table:
+    """Words, pairs and longer phrases that can be frequent, one row for each length and bucket; words by language."""
+    shard = _Shard(table)
+    words = flags_for(shard.h, buckets, replies_of(replies, 1))
+    symbols, h, counts = shard.pairs(words)
+    pairs = flags_for(h, buckets, replies_of(replies, 2))
+    found = [(np.flatnonzero(words)[:, None] + 1, shard.h[words], shard.counts[words]), (symbols[pairs], h[pairs], counts[pairs])]
+    found += shard.longer(symbols, pairs, longest)
+    slot, rows = _slot(table), []
+    for symbols, h, counts in found:
+        cuts, _ = bucket_cuts(h, buckets)
+        used = np.flatnonzero(np.diff(cuts))
+        ends = pa.array(np.append(cuts[used], len(h)), pa.int32())
+        keys = pa.ListArray.from_arrays(ends, shard.phrase_keys(symbols))
+        rows.append(pa.table({"slot": pa.array(np.full(len(used), slot), pa.int32()), "bucket": pa.array(used, pa.int32()), "keys": keys, "counts": pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))}))
+    totals = {"slot": [slot], "bucket": [TOTALS], "keys": [list(shard.totals)], "counts": [list(shard.totals.values())]}
+    return pa.concat_tables([*rows, pa.table(totals, schema=rows[0].schema)])
 
 
 def _frequent(table: pa.Table, least: int) -> pa.Table:
     """Keys with at least that many occurrences over all shards; of the totals by language, all."""
-    keys, sums, _, _ = _summed(table)
+    code = table.column("keys").combine_chunks().flatten().dictionary_encode()
+    sums = np.zeros(len(code.dictionary), np.int64)
+    np.add.at(sums, code.indices.to_numpy(), table.column("counts").combine_chunks().flatten().to_numpy())
     totals = table.column("bucket")[0].as_py() == TOTALS
     kept = np.flatnonzero((sums >= least) | totals)
-    return pa.table({"total": pa.array(np.full(len(kept), totals)), "key": keys.take(pa.array(kept)), "n": pa.array(sums[kept], pa.int64())})
+    return pa.table({"total": pa.array(np.full(len(kept), totals)), "key": code.dictionary.take(pa.array(kept)), "n": pa.array(sums[kept], pa.int64())})
 
 
 def phrase_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", longest: int = 5, least: int = 100) -> DataFrame:
@@ -310,22 +332,16 @@ def phrase_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     buckets = bucket_count(docs)
     slot = F.pmod(F.xxhash64("id_", "text", "lang"), F.lit(buckets)).cast("int").alias("slot")
     rows = plain.select(slot, F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    words = by_group(rows, "slot", lambda t: _ask_words(t, buckets), ASK)
-    known = by_group(words, "bucket", lambda t: _reply(t, least, 1), REPLY)
-    pairs = with_replies(rows, known, lambda t, r: _ask_pairs(t, r, buckets), ASK)
+    known = by_group(by_group(rows, "slot", lambda t: _ask_words(t, buckets), QUESTION), "bucket", lambda t: _reply(t, least, 1), REPLY)
+    pairs = with_replies(rows, known, lambda t, r: _ask_pairs(t, r, buckets), QUESTION)
     both = known.union(by_group(pairs, "bucket", lambda t: _reply(t, least, 2), REPLY))
-    asked = [words, pairs]
-    if longest > 2:
-        asked.append(with_replies(rows, both, lambda t, r: _ask_longer(t, r, buckets, longest), ASK))
-    counted = [by_group(a, "bucket", lambda t: _frequent(t, least), "total boolean, key string, n long") for a in asked]
-    found = counted[0]
-    for more in counted[1:]:
-        found = found.union(more)
-    found = cut_lineage(found)
+    asked = with_replies(rows, both, lambda t, r: _ask_phrases(t, r, buckets, longest), ASK)
+    found = cut_lineage(by_group(asked, "bucket", lambda t: _frequent(t, least), "total boolean, key string, n long"))
     phrase = F.substring_index("key", "\n", -1)
     split = found.where("not total").select(F.left("key", F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), F.split(phrase, " ").alias("words"), "n")
-    totals = found.where("total").select(F.col("key").alias("lang"), F.col("n").alias("total"))
-    return split.join(totals, "lang")
+    # A language may hold most phrases, so each total is dealt to as many parts.
+    totals = found.where("total").select(F.col("key").alias("lang"), F.col("n").alias("total"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("part"))
+    return split.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(buckets)).cast("int")).join(totals, ["lang", "part"]).drop("part")
 
 
 def extensions(counts: DataFrame) -> DataFrame:

@@ -25,6 +25,9 @@ GRAM = 16
 #: Bytes that are sorted at once.
 SORT_BYTES = 1 << 20
 
+#: A pair of random values for each byte.
+_VALUE = np.random.Generator(np.random.PCG64(20240503)).integers(0, 2**64, (2, 256), dtype=np.uint64)
+
 
 def two_stage_sort(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array of small non-negative integers, right up to ``depth`` symbols of each suffix.
@@ -161,6 +164,28 @@ def repeated_starts(segments: list[bytes], ranks: np.ndarray, length: int) -> tu
     return owner[later], offset[later]
 
 
+#: Odd numbers, so that each has an inverse among 64-bit numbers.
+_POWER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def content_hashes(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """128 bits of each range [low, high) of the bytes, as two columns, from differences of prefix sums."""
+    out = np.empty((len(low), 2), np.uint64)
+    for k, base in enumerate(_POWER):
+        sums = np.zeros(len(body) + 1, np.uint64)
+        np.cumsum(_VALUE[k][body] * _powers(base, len(body)), out=sums[1:])
+        # Divided by the power of the range's place, equal ranges give equal differences wherever they stand.
+        back = _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(body) + 1)
+        out[:, k] = mix((sums[high] - sums[low]) * back[low] + (high - low).astype(np.uint64))
+    return out
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    steps = np.full(n, base)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
 def minimizer_runs(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive string starts that share a minimizer: (key, row, first byte, end byte of the last string)."""
     reach = length - GRAM
@@ -202,14 +227,14 @@ class _Slot:
         for batch in slices(self.table.to_batches(), "text", 1 << 20):
             body, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
             key, row, low, high = minimizer_runs(body, offsets, length)
-            self.parts.append((body, offsets))
+            self.parts.append((body, offsets, at))
             keys.append(key)
-            rows.append(row + done)
+            rows.append((row + done).astype(np.int32))
             lows.append(low + at)
             highs.append(high + at)
             done, at = done + len(offsets) - 1, at + len(body)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.key, self.row = join(keys, np.uint64), join(rows, np.int64)
+        self.key, self.row, self.total = join(keys, np.uint64), join(rows, np.int32), at
         self.low, self.high = join(lows, np.int64), join(highs, np.int64)
         self.asked, self.index = np.unique(self.key, return_inverse=True)
         doc = self.row_doc[self.row]
@@ -220,24 +245,31 @@ class _Slot:
         self.twice = least != most
 
     def segments(self, shared: np.ndarray) -> None:
-        """Distinct segments around shared minimizers, each with its first document; later ones are known repeats."""
+        """Number the distinct segments around shared minimizers; all but the first document's are known repeats."""
         self.runs = np.flatnonzero(shared[self.index])
-        body = b"".join(x.tobytes() for x, _ in self.parts)
-        doc = self.row_doc[self.row[self.runs]].tolist()
-        held: dict[bytes, int] = {}
-        self.content: list[bytes] = []
-        number, first = [], []
-        for low, high, d in zip(self.low[self.runs].tolist(), self.high[self.runs].tolist(), doc, strict=True):
-            piece = body[low:high]
-            n = held.setdefault(piece, len(held))
-            if n == len(self.content):
-                self.content.append(piece)
-                first.append(d)
-            number.append(n)
-        self.number = np.array(number, np.int64)
-        self.known = np.array(doc, np.int64) > np.array(first, np.int64)[self.number] if number else np.zeros(0, bool)
-        self.opener = np.zeros(len(self.content), np.int64)
-        self.opener[self.number[::-1]] = self.runs[::-1]
+        low, high = self.low[self.runs], self.high[self.runs]
+        content = np.empty((len(self.runs), 2), np.uint64)
+        for body, _, at in self.parts:
+            a, b = np.searchsorted(low, [at, at + len(body)])
+            content[a:b] = content_hashes(body, low[a:b] - at, high[a:b] - at)
+        order = np.lexsort((content[:, 1], content[:, 0]))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(content[order], axis=0) != 0).any(axis=1)
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(fresh) - 1
+        # The sort is stable and runs follow the documents, so the first of equal ones is the earliest.
+        self.content, self.opener = content[order[fresh]], self.runs[order[fresh]]
+        doc = self.row_doc[self.row]
+        self.known = doc[self.runs] > doc[self.opener][self.number]
+
+    def gathered(self, low: np.ndarray, high: np.ndarray) -> bytes:
+        """The bytes of some ranges, one after the other."""
+        starts = np.array([at for _, _, at in self.parts])
+        out = []
+        for part, a, b in zip((np.searchsorted(starts, low, "right") - 1).tolist(), low.tolist(), high.tolist(), strict=True):
+            body, _, at = self.parts[part]
+            out.append(body[a - at : b - at])
+        return np.concatenate(out).tobytes() if out else b""
 
 
 def _ask_keys(table: pa.Table, buckets: int, length: int) -> pa.Table:
@@ -246,16 +278,16 @@ def _ask_keys(table: pa.Table, buckets: int, length: int) -> pa.Table:
 
 
 def _ask_segments(table: pa.Table, replies: pa.Table, buckets: int, length: int) -> pa.Table:
-    """One question for each bucket: documents, minimizers, sizes and bytes of the slot's distinct segments there."""
+    """One question for each bucket: documents, minimizers, content hashes, sizes and bytes of the slot's segments there."""
     slot = _Slot(table, length)
     slot.segments(flags_for(slot.asked, buckets, replies_of(replies, 1)))
     doc, turn = document_keys(slot.table)
     chosen, data = _by_bucket(slot, buckets), []
     for part in chosen.values():
-        rows = slot.row[slot.opener[part]]
-        content = [slot.content[i] for i in part.tolist()]
-        keys, sizes = slot.key[slot.opener[part]], np.array([len(c) for c in content], np.int32)
-        data.append(b"".join([np.int64(len(part)).tobytes(), doc[rows].tobytes(), turn[rows].tobytes(), keys.tobytes(), sizes.tobytes(), *content]))
+        run = slot.opener[part]
+        rows, low, high = slot.row[run], slot.low[run], slot.high[run]
+        arrays = doc[rows], turn[rows], slot.key[run], slot.content[part, 0], slot.content[part, 1], (high - low).astype(np.int32)
+        data.append(b"".join([np.int64(len(part)).tobytes(), *(x.tobytes() for x in arrays), slot.gathered(low, high)]))
     return pa.table({"slot": pa.array(np.full(len(data), table.column("slot")[0].as_py()), pa.int32()), "bucket": pa.array(list(chosen), pa.int32()), "payload": pa.array(data, pa.binary())})
 
 
@@ -269,18 +301,30 @@ def _by_bucket(slot: _Slot, buckets: int) -> dict[int, np.ndarray]:
     return {int(key[p[0]] // step): p for p in np.split(order, cuts) if len(p)}
 
 
-def _read_segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    doc, turn = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n)
-    key = np.frombuffer(data, np.uint64, n, 8 + 16 * n)
-    ends = np.cumsum(np.frombuffer(data, np.int32, n, 8 + 24 * n)).tolist()
-    base = 8 + 28 * n
-    return doc, turn, key, [data[base + a : base + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+class _Segments:
+    """The questions of a bucket: what describes each segment, joined, and views of the bytes."""
 
+    def __init__(self, payloads: pa.ChunkedArray):
+        buffers = [x.as_buffer() for x in payloads]
+        self.counts = [int(np.frombuffer(x, np.int64, 1)[0]) for x in buffers]
+        columns = []
+        self.bodies, starts = [], []
+        for data, n in zip(buffers, self.counts, strict=True):
+            columns.append([np.frombuffer(data, kind, n, 8 + 8 * n * k) for k, kind in enumerate((np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int32))])
+            self.bodies.append(np.frombuffer(data, np.uint8, -1, 8 + 44 * n))
+            sizes = columns[-1][-1].astype(np.int64)
+            starts.append(np.cumsum(sizes) - sizes)
+        self.doc, self.turn, self.key, self.high, self.low, self.size = (np.concatenate(c) for c in zip(*columns, strict=True))
+        self.start, self.part = np.concatenate(starts), np.repeat(np.arange(len(buffers)), self.counts)
 
-def _batches(order: np.ndarray, group: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
+    def content(self, i: int) -> bytes:
+        a = self.start[i]
+        return self.bodies[self.part[i]][a : a + self.size[i]].tobytes()
+
+
+def _batches(order: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
     """Cut segments, ordered by group, into runs of whole groups with at most :data:`SORT_BYTES`, or one group."""
-    total = np.cumsum([sizes[i] for i in order.tolist()])
+    total = np.cumsum(sizes[order], dtype=np.int64)
     ends = np.flatnonzero(np.diff(group[order], append=-1)) + 1 if len(order) else np.zeros(0, np.int64)
     first = 0
     while first < len(order):
@@ -297,30 +341,27 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
     A segment that an earlier document holds whole is marked so. Of the others, each distinct one is sorted once, unless
     its minimizer has no second one: then no other segment can share a string with it.
     """
-    parts = [_read_segments(x) for x in table.column("payload").to_pylist()]
-    doc, turn = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    held = _Segments(table.column("payload"))
+    doc, turn = held.doc, held.turn
     rank_order = np.lexsort((turn, doc))
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (np.diff(doc[rank_order]) != 0) | (np.diff(turn[rank_order]) != 0)
     rank = np.empty(len(doc), np.int64)
     rank[rank_order] = np.cumsum(fresh) - 1
-    held: dict[bytes, int] = {}
-    content: list[bytes] = []
+    same = np.lexsort((held.low, held.high))
+    fresh[0] = True
+    fresh[1:] = (np.diff(held.high[same]) != 0) | (np.diff(held.low[same]) != 0)
     number = np.empty(len(doc), np.int64)
-    for i, piece in enumerate(p for part in parts for p in part[3]):
-        n = held.setdefault(piece, len(held))
-        if n == len(content):
-            content.append(piece)
-        number[i] = n
-    least = np.full(len(content), np.iinfo(np.int64).max)
+    number[same] = np.cumsum(fresh) - 1
+    opener = same[fresh]
+    least = np.full(len(opener), np.iinfo(np.int64).max)
     np.minimum.at(least, number, rank)
-    key = np.empty(len(content), np.uint64)
-    key[number] = np.concatenate([p[2] for p in parts])
+    key = held.key[opener]
     _, index, times = np.unique(key, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(times[index] > 1)
     found = []
-    for part in _batches(mixed[np.argsort(index[mixed], kind="stable")], index, [len(c) for c in content]):
-        owner, offset = repeated_starts([content[i] for i in part.tolist()], least[part], length)
+    for part in _batches(mixed[np.argsort(index[mixed], kind="stable")], index, held.size[opener]):
+        owner, offset = repeated_starts([held.content(i) for i in opener[part].tolist()], least[part], length)
         found.append((part[owner], offset))
     owner, offset = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
     order = np.lexsort((offset, owner))
@@ -333,8 +374,7 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
     for o, a, b in zip(owner[begin].tolist(), offset[begin].tolist(), offset[last].tolist() if len(begin) else [], strict=True):
         spans.setdefault(o, []).append((a, b + length))
     out, at = [], 0
-    for part in parts:
-        n = len(part[0])
+    for n in held.counts:
         numbers = number[at : at + n]
         whole = rank[at : at + n] > least[numbers]
         mine = [[] if w else spans.get(k, []) for k, w in zip(numbers.tolist(), whole.tolist(), strict=True)]
@@ -346,7 +386,7 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
 def _remove(table: pa.Table, replies: pa.Table, buckets: int, length: int) -> pa.Table:
     slot = _Slot(table, length)
     slot.segments(flags_for(slot.asked, buckets, replies_of(replies, 1)))
-    whole = np.zeros(len(slot.content), bool)
+    whole = np.zeros(len(slot.opener), bool)
     partly: list[tuple[int, int, int]] = []
     second = replies_of(replies, 2)
     for bucket, part in _by_bucket(slot, buckets).items():
@@ -368,12 +408,10 @@ def _remove(table: pa.Table, replies: pa.Table, buckets: int, length: int) -> pa
         lows.append(slot.low[run] + np.repeat(a, times))
         highs.append(slot.low[run] + np.repeat(b, times))
     low, high = np.concatenate(lows), np.concatenate(highs)
-    total = sum(len(x) for x, _ in slot.parts)
-    removed = covered(low, high - low, total)
-    n_bytes, n_removed, n_spans, kept, at = [], [], [], [], 0
-    for body, offsets in slot.parts:
+    removed = covered(low, high - low, slot.total)
+    n_bytes, n_removed, n_spans, kept = [], [], [], []
+    for body, offsets, at in slot.parts:
         gone = removed[at : at + len(body)]
-        at += len(body)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         edge = offsets[(offsets > 0) & (offsets < len(body))]

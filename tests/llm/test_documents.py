@@ -87,6 +87,19 @@ def test_repeated_bytes(planted, planted_texts, empty):
     assert suffixes.remove_repeated_bytes(empty).count() == 0
 
 
+def test_content_hashes_depend_on_the_bytes_alone():
+    rng = np.random.default_rng(6)
+    seen: dict[tuple, bytes] = {}
+    kept: dict[bytes, tuple] = {}
+    for _ in range(30):
+        body = rng.integers(97, 99, int(rng.integers(1, 90))).astype(np.uint8)
+        low = rng.integers(0, len(body), 200)
+        high = low + rng.integers(0, len(body) - low + 1)
+        for a, b, h in zip(low.tolist(), high.tolist(), map(tuple, suffixes.content_hashes(body, low, high).tolist()), strict=True):
+            piece = body[a:b].tobytes()
+            assert seen.setdefault(h, piece) == piece and kept.setdefault(piece, h) == h
+
+
 def test_two_stage_sort_and_prefixes():
     rng = np.random.default_rng(0)
     for _ in range(200):

@@ -115,6 +115,42 @@ def test_dot_topn_matches_numpy(spark, block_rows):
     assert {(r.left_id, r.right_id, r["rank"]) for r in got} == want
 
 
+def test_best_products_skip_what_their_bounds_rule_out():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 8)) * 5
+    right = np.vstack([c + rng.normal(size=(60, 8)) * 0.1 for c in centres])[rng.permutation(720)]
+    left = centres[rng.integers(0, 12, 90)] + rng.normal(size=(90, 8)) * 0.1
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    none = np.zeros(0, np.int64)
+    for a, b, share in ((unit(left), unit(right), 0.5), (left, right * rng.exponential(size=(720, 1)), 0.9)):
+        block = lambda x: vectors._Block(np.arange(len(x)) * 3, x, none, none, none)
+        got = vectors.best_products(block(a), block(b), 5, None, False, (none, none), 40)
+        scores = np.round(a @ b.T, 6)
+        want = [(i * 3, j * 3, scores[i, j]) for i in range(len(a)) for j in sorted(range(len(b)), key=lambda j: (-scores[i, j], j))[:5]]
+        assert [(x, y, pytest.approx(z, abs=1e-6)) for x, y, z in want] == list(zip(*(g.tolist() for g in got[:3])))
+        assert got[3] < share * a.size / 8 * len(b)
+
+
+@pytest.mark.parametrize("slice_rows", [5, 4096])
+def test_sparse_products_match_numpy(spark, slice_rows):
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random((40, 30)) < 0.2, rng.random((40, 30)), 0)
+    y = np.where(rng.random((55, 30)) < 0.2, rng.random((55, 30)) * rng.exponential(size=(55, 1)), 0)
+
+    def sparse(m):
+        rows = [(i, np.flatnonzero(r).tolist(), r[r > 0].tolist()) for i, r in enumerate(m)]
+        return spark.createDataFrame(rows, "id bigint, idx array<bigint>, val array<double>")
+
+    got = vectors.dot_topn(sparse(x), sparse(y), 6, threshold=0.01, left_rows=16, right_rows=30, slice_rows=slice_rows).collect()
+    scores = np.round(x @ y.T, 6)
+    want = {(i, j, r + 1) for i in range(40) for r, j in enumerate(j for j in sorted(range(55), key=lambda j: (-scores[i, j], j))[:6] if scores[i, j] >= 0.01)}
+    assert {(r.left_id, r.right_id, r["rank"]) for r in got} == want
+
+
+def test_copies_of_a_row_stay_under_a_hundred():
+    assert max(vectors.copies(10**7, 10**7)) < 100
+
+
 def test_item_cosine_matches_numpy_in_any_blocking(spark, matrix):
     x, df = matrix
     norms = np.linalg.norm(x, axis=0)

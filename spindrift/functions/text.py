@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 # A token is a run of at least two letters, digits or underscores.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-# The default stop words. Pass another list to replace it.
+# The default stop words, which are Spark's English list as tokens: words of two letters or more, then what
+# is left of its contractions. Pass another list to replace it.
 STOP_WORDS = tuple(
-    """a about after again all also am an and any are as at be because been before being between both but by can
-    could did do does doing down during each few for from further had has have having he her here hers him his how i
-    if in into is it its itself just me more most my no nor not now of off on once only or other our ours out over own
-    same she should so some such than that the their theirs them then there these they this those through to too under
-    until up very was we were what when where which while who whom why will with would you your yours""".split()
+    """me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+    herself it its itself they them their theirs themselves what which who whom this that these those am is are
+    was were be been being have has had having do does did doing an the and but if or because as until while of
+    at by for with about against between into through during before after above below to from up down in out on
+    off over under again further then once here there when where why how all any both each few more most other
+    some such no nor not only own same so than too very can will just don should now cannot could ought would ll
+    re ve isn aren wasn weren haven hasn hadn doesn didn won wouldn shan shouldn mustn couldn let""".split()
 )
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.hashing import md5_uniform
 from .ranking import global_top, top_n_per_user
@@ -145,3 +146,36 @@ def engagement_metrics(log: DataFrame, catalog_size: Column, watch: Column, rete
         (F.count_distinct("item_id") / catalog_size).alias("coverage"),
         (new_pairs / F.count(F.lit(1))).alias("exploration_rate"),
     ).withColumns({"daily_retention": kept["d"], "weekly_retention": kept["w"]})
+
+
+def list_quality(log: DataFrame, lists: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row: mean NDCG of the served lists that hold a click.
+
+    A list is all rows with the same ``lists`` columns in the given order; a click gains 1 / log2(place + 1), and the
+    best order has its clicks first. The ideal sum depends on the number of clicks alone.
+    """
+    place = F.row_number().over(Window.partitionBy(*lists).orderBy(*order))
+    gains = log.withColumn("_place", place).groupBy(*lists).agg(
+        F.sum(F.col("clicked") / F.log2(F.col("_place") + 1)).alias("dcg"), F.sum("clicked").cast("int").alias("clicks")
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.col("clicks")), F.lit(0.0), lambda total, i: total + 1 / F.log2(i + 1))
+    return gains.filter("clicks > 0").agg(F.avg(F.col("dcg") / ideal).alias("ndcg"))
+
+
+def return_rates(activity: DataFrame, days: Sequence[int] = (7, 30), ts: str = "timestamp") -> DataFrame:
+    """One row: the share of users who come back within so many days after their first day, ``retention_<n>d``.
+
+    Days are made distinct per user first; the first day meets the others through an aggregate, not a join.
+    """
+    day = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).alias("day")
+    active = activity.select("user_id", day).distinct()
+    first = active.groupBy("user_id").agg(F.min("day").alias("first"))
+    later = active.join(first, "user_id").groupBy("user_id").agg(F.min(F.when(F.col("day") > F.col("first"), F.col("day") - F.col("first"))).alias("gap"))
+    return later.agg(*[(F.count_if(F.col("gap") <= n) / F.count(F.lit(1)) * 100).alias(f"retention_{n}d") for n in days])
+
+
+def watch_figures(watched: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: minutes watched in all, and the mean share of the item's duration that was watched, at most one."""
+    share = F.when(F.col("duration").isNotNull(), F.least(F.col("minutes") / F.col("duration"), F.lit(1.0)))
+    joined = watched.join(items.filter("duration > 0").select("item_id", "duration"), "item_id", "left")
+    return joined.agg(F.sum("minutes").alias("watch_time"), F.avg(share).alias("completion_rate"))

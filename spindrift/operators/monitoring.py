@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 from .ranking import global_top
 
 # Metric, comparison, threshold, alert type, severity, message start, unit.
@@ -113,42 +117,70 @@ def peak_hours_days(df: DataFrame, n: int = 3, ts: str = "timestamp") -> DataFra
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def exact_percentile(df: DataFrame, column: str, q: float, accuracy: int = 100_000) -> Column:
-    """Exact, interpolated percentile as a scalar subquery, without one task holding all values.
+#: Bits of a digit in the radix selection; 64 bits are four rounds.
+DIGIT_BITS = 16
 
-    Two sketches with known rank error bracket the wanted ranks. Only values in
-    the bracket and its two neighbours, about 4/accuracy of the rows, are counted
-    exactly, and their histogram (one row per distinct value) is summed up in one
-    place. The neighbours cover the half rank between the sketch's ranks and the
-    interpolated ones.
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the doubles: NaN last, both zeros equal."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def from_ordered_bits(bits: int) -> float:
+    raw = bits ^ (1 << 63) if bits >> 63 else bits ^ ((1 << 64) - 1)
+    return float(np.uint64(raw).view(np.float64))
+
+
+def _digit_counts(values: DataFrame, prefixes: Sequence[int], rest: int) -> dict[int, np.ndarray]:
+    """For each prefix of the ordered bits the counts of the next digit, ``rest`` bits being left below it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {p: np.zeros(1 << DIGIT_BITS, np.int64) for p in prefixes}
+        for batch in batches:
+            bits = ordered_bits(batch.column(0).to_numpy(zero_copy_only=False))
+            digit = (bits >> np.uint64(rest)) & np.uint64((1 << DIGIT_BITS) - 1)
+            # A shift by all 64 bits is not defined, so the first round has one empty prefix.
+            head = bits >> np.uint64(rest + DIGIT_BITS) if rest + DIGIT_BITS < 64 else np.zeros(len(bits), np.uint64)
+            for p, total in totals.items():
+                total += np.bincount(digit[head == np.uint64(p)].astype(np.int64), minlength=1 << DIGIT_BITS)
+        for p, total in totals.items():
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([str(p)] * len(used), pa.string()), pa.array(used), pa.array(total[used])], ["prefix", "digit", "n"])
+
+    counted = values.mapInArrow(count, "prefix string, digit long, n long").groupBy("prefix", "digit").agg(F.sum("n").alias("n"))
+    out = {p: np.zeros(1 << DIGIT_BITS, np.int64) for p in prefixes}
+    for row in counted.collect():  # one row for each digit and prefix at most
+        out[int(row["prefix"])][row["digit"]] = row["n"]
+    return out
+
+
+def exact_percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact, interpolated percentiles by radix selection; all null without values.
+
+    Each round counts the next 16 bits of all values that share the bits found so far, for every wanted rank at once,
+    so four passes over one written column find all of them. No task sees the values in order, and the driver holds one
+    count for each digit.
     """
-    v = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    slack = 2.0 / accuracy
-    bounds = v.agg(
-        F.struct(
-            F.percentile_approx("v", F.lit(max(0.0, q - slack)), accuracy).alias("lo"),
-            F.percentile_approx("v", F.lit(min(1.0, q + slack)), accuracy).alias("hi"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    ).scalar()
-    value = F.col("v")
-    edges = v.agg(
-        F.struct(
-            F.coalesce(F.max(F.when(value < bounds["lo"], value)), bounds["lo"]).alias("lo"),
-            F.coalesce(F.min(F.when(value > bounds["hi"], value)), bounds["hi"]).alias("hi"),
-        )
-    ).scalar()
-    low, high = edges["lo"], edges["hi"]
-    below = v.filter(F.col("v") < low).agg(F.count(F.lit(1))).scalar()
-    histogram = v.filter((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    running = histogram.select(
-        "v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("run")
-    )
-    place = (bounds["n"] - 1) * q
-    upto = F.col("run") + below
-    left = F.min(F.when(upto >= F.floor(place) + 1, F.col("v")))
-    right = F.min(F.when(upto >= F.ceil(place) + 1, F.col("v")))
-    return running.agg((left + (right - left) * (place - F.floor(place))).alias("p")).scalar()
+    values = cut_lineage(df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull()))
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+    places = [(n - 1) * q for q in shares]
+    # Each wanted rank has the bits found so far and its place among the values that share them.
+    found = {rank: (0, rank) for place in places for rank in (math.floor(place), math.ceil(place))}
+    for rest in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        counts = _digit_counts(values, sorted({prefix for prefix, _ in found.values()}), rest)
+        for rank, (prefix, inside) in found.items():
+            running = np.cumsum(counts[prefix])
+            digit = int(np.searchsorted(running, inside, "right"))
+            found[rank] = prefix << DIGIT_BITS | digit, inside - int(running[digit] - counts[prefix][digit])
+    exact = {rank: from_ordered_bits(bits) for rank, (bits, _) in found.items()}
+    out = []
+    for place in places:
+        low, high = exact[math.floor(place)], exact[math.ceil(place)]
+        out.append(low + (high - low) * (place - math.floor(place)) if high != low else low)
+    return out
 
 
 def response_time_stats(df: DataFrame) -> DataFrame:
@@ -162,12 +194,11 @@ def response_time_stats(df: DataFrame) -> DataFrame:
     at = F.unix_micros(F.col("timestamp").cast("timestamp"))
     early = at * 2 < ends["a"] + ends["b"]
     change = F.avg(F.when(~early, F.col("duration_ms"))) - F.avg(F.when(early, F.col("duration_ms")))
+    median, p95 = exact_percentiles(df, "duration_ms", (0.5, 0.95))
     return df.agg(
         F.avg("duration_ms").alias("average"),
         F.when(change > 0, "worsening").when(change < 0, "improving").otherwise("stable").alias("trend"),
-    ).withColumns(
-        {"median": exact_percentile(df, "duration_ms", 0.5), "p95": exact_percentile(df, "duration_ms", 0.95)}
-    )
+    ).withColumns({"median": F.lit(median).cast("double"), "p95": F.lit(p95).cast("double")})
 
 
 def error_analysis(df: DataFrame, n: int = 3) -> DataFrame:
@@ -297,11 +328,18 @@ def bi_measures(performance: DataFrame, engagement: DataFrame) -> DataFrame:
     ).withColumns({"total_interactions": sums["i"], "max_users": sums["u"]})
 
 
-def dashboard_kpis(df: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row joining request, cache and engagement figures."""
+SEVERITIES = ("critical", "high", "medium", "low")
+
+
+def dashboard_kpis(df: DataFrame, sessions: DataFrame, health: DataFrame | None = None, rules: Sequence[tuple] = ()) -> DataFrame:
+    """One row joining request, cache and engagement figures with the alert inputs.
+
+    ``health`` has rows (metric, value) of the hosts, such as cpu_utilization; each becomes a column. They and the
+    request figures are held against the alert rules, whose hits are counted by severity.
+    """
     cache = cache_hit_rate(df).select("cache_hit_rate").scalar()
     stay = session_metrics(sessions).select(F.struct("avg_session_duration", "bounce_rate")).scalar()
-    return request_metrics(df).withColumns(
+    row = request_metrics(df).withColumns(
         {
             "cache_hit_rate": cache,
             "avg_session_duration": stay["avg_session_duration"],
@@ -309,6 +347,19 @@ def dashboard_kpis(df: DataFrame, sessions: DataFrame) -> DataFrame:
             "interactions_per_user": F.try_divide("total_requests", "unique_users"),
         }
     )
+    if health is None:
+        return row
+    own = {
+        "recommendation_error_rate": 100 - F.col("success_rate"),
+        "recommendation_response_time": F.col("avg_response_time"),
+        "cache_hit_rate": F.col("cache_hit_rate"),
+    }
+    health = health.select("metric", F.col("value").cast("double").alias("value"))
+    found = alerts(metric_rows(row, own).unionByName(health), rules or ALERT_RULES)
+    counts = found.agg(F.struct(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])).scalar()
+    hosts = [rule[0] for rule in (rules or ALERT_RULES) if rule[0] not in own]
+    values = health.agg(F.struct(*[F.max(F.when(F.col("metric") == h, F.col("value"))).alias(h) for h in hosts])).scalar()
+    return row.withColumns({h: values[h] for h in hosts} | {f"{s}_alerts": counts[s] for s in SEVERITIES})
 
 
 def realtime_kpis(df: DataFrame, minutes: int = 5) -> DataFrame:

@@ -156,6 +156,22 @@ def exclude_items(df: DataFrame, excluded: DataFrame, keys: Sequence[str] = ("us
     return df.join(excluded.select(*keys), list(keys), "left_anti")
 
 
+def unseen_lists(users: DataFrame, items: DataFrame, rated: DataFrame, block_items: int = 4096) -> DataFrame:
+    """(user_id, block, items): the ids without a rating of the user, ascending, for every user and block of long ids.
+
+    The complement of all histories is as large as users x items, so it is kept as one array for each user and range of
+    ``block_items`` ids instead of a row for each pair. A user's history meets a block as one array too.
+    """
+    block = F.floor(F.col("item_id") / block_items).cast("bigint").alias("block")
+    blocks = items.select("item_id", block).groupBy("block").agg(F.array_sort(F.collect_set("item_id")).alias("all"))
+    seen = rated.select("user_id", "item_id", block).groupBy("user_id", "block").agg(F.collect_set("item_id").alias("seen"))
+    numbers = blocks.agg(F.collect_set("block")).scalar()
+    asked = users.select("user_id").distinct().select("user_id", F.explode(numbers).alias("block"))
+    found = asked.join(blocks, "block").join(seen, ["user_id", "block"], "left")
+    left = F.when(F.col("seen").isNull(), F.col("all")).otherwise(F.array_except("all", "seen"))
+    return found.select("user_id", "block", left.alias("items")).filter(F.size("items") > 0)
+
+
 def top_values(df: DataFrame, value: str, n: int | None = None) -> DataFrame:
     """Values by count, most frequent first."""
     counted = df.groupBy(value).count()

@@ -168,14 +168,35 @@ w AS (SELECT DISTINCT user_id, CAST(floor(d / 7) AS INTEGER) AS d FROM d),
 dr AS (SELECT count(b.user_id) / count(*) * 100 AS r FROM d a LEFT JOIN d b ON a.user_id = b.user_id AND b.d = a.d + 1
        GROUP BY a.d),
 wr AS (SELECT count(b.user_id) / count(*) * 100 AS r FROM w a LEFT JOIN w b ON a.user_id = b.user_id AND b.d = a.d + 1
-       GROUP BY a.d)
-SELECT round(avg(clicked), 6) AS ctr, round(avg(position), 6) AS watch_time,
+       GROUP BY a.d),
+lists AS (SELECT user_id, CAST(timestamp AS DATE) AS d, clicked, row_number() OVER (
+            PARTITION BY user_id, CAST(timestamp AS DATE) ORDER BY position, request_id) AS place FROM reclog),
+gains AS (SELECT user_id, d, sum(clicked / log2(place + 1)) AS dcg, sum(clicked)::INTEGER AS c FROM lists GROUP BY 1, 2),
+ideal AS (SELECT g.*, (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, c + 1)) AS i)) AS best FROM gains g WHERE c > 0),
+first AS (SELECT user_id, min(d) AS f FROM d GROUP BY 1),
+gaps AS (SELECT d.user_id, min(CASE WHEN d.d > f THEN d.d - f END) AS gap FROM d JOIN first USING (user_id) GROUP BY 1),
+watched AS (SELECT e.value, i.duration FROM ev e LEFT JOIN items i ON i.item_id = e.event_id % 200 AND i.duration > 0)
+SELECT round(avg(clicked), 6) AS ctr, (SELECT round(sum(value), 6) FROM watched) AS watch_time,
+       (SELECT round(avg(least(value / duration, 1.0)), 6) FROM watched WHERE duration IS NOT NULL) AS completion_rate,
+       (SELECT round(avg(dcg / best), 6) FROM ideal) AS ndcg,
+       (SELECT round(count(*) FILTER (gap <= 7) / count(*) * 100, 6) FROM gaps) AS retention_7d,
+       (SELECT round(count(*) FILTER (gap <= 30) / count(*) * 100, 6) FROM gaps) AS retention_30d,
        round(count(DISTINCT item_id) / (SELECT count(*) FROM part), 6) AS coverage,
        round((SELECT count(*) FROM (SELECT DISTINCT user_id, genre FROM reclog)) / count(*), 6) AS exploration_rate,
        (SELECT round(avg(r), 6) FROM dr) AS daily_retention, (SELECT round(avg(r), 6) FROM wr) AS weekly_retention
 FROM reclog""",
 )
 def _(spark, sf):
-    size = tables.content(spark, sf).agg(F.count(F.lit(1))).scalar()
-    kept = monitoring.retention(tables.events(spark, sf))
-    return bandits.engagement_metrics(log(spark, sf), size, F.col("position"), kept)
+    """The value of an event counts as minutes watched of the item shown."""
+    items, events = tables.content(spark, sf), tables.events(spark, sf)
+    size = items.agg(F.count(F.lit(1))).scalar()
+    watched = events.select((F.col("event_id") % 200).alias("item_id"), F.col("value").alias("minutes"))
+    lists = log(spark, sf).withColumn("day", F.to_date("timestamp"))
+    parts = [
+        bandits.watch_figures(watched, items).select(F.struct("*")).scalar(),
+        bandits.list_quality(lists, ["user_id", "day"], ["position", "request_id"]).select(F.struct("*")).scalar(),
+        bandits.return_rates(events).select(F.struct("*")).scalar(),
+    ]
+    names = [("watch_time", "completion_rate"), ("ndcg",), ("retention_7d", "retention_30d")]
+    report = bandits.engagement_metrics(log(spark, sf), size, F.lit(0), monitoring.retention(events)).drop("watch_time")
+    return report.withColumns({n: part[n] for part, group in zip(parts, names) for n in group})

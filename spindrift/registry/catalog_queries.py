@@ -156,6 +156,21 @@ def _(spark, sf):
     return discovery.seasonal(tables.content(spark, sf, with_text=True), "spring", themes=THEMES)
 
 
+def all_seasons_sql():
+    parts = [seasonal_sql(words).replace("'spring' AS season", f"'{season}' AS season") for season, words in discovery.SEASONAL_THEMES.items()]
+    return " UNION ALL ".join(f"SELECT * FROM ({part})" for part in parts)
+
+
+@query("seasonal_all", all_seasons_sql())
+def _(spark, sf):
+    """The best items of all four seasons by their own theme words."""
+    items = tables.content(spark, sf, with_text=True)
+    first, *others = (discovery.seasonal(items, season) for season in discovery.SEASONAL_THEMES)
+    for found in others:
+        first = first.unionByName(found)
+    return first
+
+
 DOC_SQL = """
 SELECT CAST(item_id AS VARCHAR) AS id, title, description, category, genre, year AS release_year,
        coalesce(rating, 0) AS rating, duration AS duration_minutes, array_to_string(keywords, '|') AS "cast",
@@ -295,6 +310,23 @@ def _(spark, sf):
     return ranking.exclude_items(taste.join(items, ["genre", "category"]).select("user_id", "item_id"), rated)
 
 
+@query(
+    "unseen_lists",
+    """
+SELECT u.c_custkey AS user_id, i.item_id // 1024 AS block, count(*) AS unseen,
+       md5(string_agg(CAST(i.item_id AS VARCHAR), ',' ORDER BY i.item_id)) AS items
+FROM customer u, items i WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.user_id = u.c_custkey AND c.item_id = i.item_id)
+GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """All items that each user has no rating for, users without ratings included, in blocks of 1,024 ids."""
+    from .cleaning_queries import clean
+
+    users, items = tables.users(spark, sf).select("user_id"), tables.content(spark, sf).select("item_id")
+    found = ranking.unseen_lists(users, items, clean(spark, sf), 1024)
+    return found.select("user_id", "block", F.size("items").cast("bigint").alias("unseen"), F.md5(F.array_join(F.col("items").cast("array<string>"), ",")).alias("items"))
+
+
 @query(
     "enrich_items",
     """

@@ -279,17 +279,40 @@ def _(spark, sf):
     return monitoring.bi_measures(monitoring.hourly_rollup(tables.requests(spark, sf)), engagement)
 
 
+HOST_SQL = """
+SELECT unnest(['cpu_utilization', 'memory_utilization', 'system_availability']) AS metric,
+       unnest([avg(k) * 1.6, avg(k) * 1.9, 100 - avg(k) / 40]) AS value FROM requests"""
+
+
 @query(
     "dashboard_kpis",
     f"""
-SELECT {REQUEST_SQL}, round(count(*) FILTER (cache_event = 'CacheHit') * 100.0 / count(*), 6) AS cache_hit_rate,
+WITH r AS (SELECT {REQUEST_SQL}, round(count(*) FILTER (cache_event = 'CacheHit') * 100.0 / count(*), 6) AS cache_hit_rate,
        (SELECT round(avg(duration_ms), 6) FROM sessions360) AS avg_session_duration,
        (SELECT round(count(*) FILTER (duration_ms < 30000) * 100.0 / count(*), 6) FROM sessions360) AS bounce_rate,
-       round(count(*) / count(DISTINCT user_id), 6) AS interactions_per_user FROM requests""",
-)
-def _(spark, sf):
-    stays = sessions.session_table(tables.events(spark, sf), 360)
-    return monitoring.dashboard_kpis(tables.requests(spark, sf), stays)
+       round(count(*) / count(DISTINCT user_id), 6) AS interactions_per_user FROM requests),
+h AS ({HOST_SQL}),
+a AS (SELECT severity FROM (
+    SELECT * FROM h UNION ALL SELECT unnest(['recommendation_error_rate', 'recommendation_response_time', 'cache_hit_rate']),
+           unnest([100 - success_rate, avg_response_time, cache_hit_rate]) FROM r) m
+  JOIN (VALUES ('recommendation_error_rate', '>', 5.0, 'high'), ('recommendation_response_time', '>', 2000.0, 'medium'),
+    ('cache_hit_rate', '<', 70.0, 'low'), ('cpu_utilization', '>', 80.0, 'high'), ('memory_utilization', '>', 85.0, 'high'),
+    ('system_availability', '<', 99.0, 'critical')) t(metric, op, threshold, severity) ON m.metric = t.metric
+  WHERE (op = '>' AND value > threshold) OR (op = '<' AND value < threshold))
+SELECT r.*, (SELECT round(value, 6) FROM h WHERE metric = 'cpu_utilization') AS cpu_utilization,
+       (SELECT round(value, 6) FROM h WHERE metric = 'memory_utilization') AS memory_utilization,
+       (SELECT round(value, 6) FROM h WHERE metric = 'system_availability') AS system_availability,
+       (SELECT count(*) FROM a WHERE severity = 'critical') AS critical_alerts,
+       (SELECT count(*) FROM a WHERE severity = 'high') AS high_alerts,
+       (SELECT count(*) FROM a WHERE severity = 'medium') AS medium_alerts,
+       (SELECT count(*) FROM a WHERE severity = 'low') AS low_alerts FROM r""",
+)
+def _(spark, sf):
+    """Host figures are plain input rows, here derived from the log."""
+    log = tables.requests(spark, sf)
+    hosts = {"cpu_utilization": F.col("k") * 1.6, "memory_utilization": F.col("k") * 1.9, "system_availability": 100 - F.col("k") / 40}
+    health = monitoring.metric_rows(log.agg(F.avg("k").alias("k")), hosts)
+    return monitoring.dashboard_kpis(log, sessions.session_table(tables.events(spark, sf), 360), health)
 
 
 add_view(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -164,17 +165,27 @@ def list_facts(recs, rated):
 
 @query(
     "svd_train",
-    "SELECT item_id AS id, 50 AS rank, true AS explained_is_a_share, true AS values_fall FROM ratings GROUP BY item_id",
+    """
+SELECT item_id AS id, 50 AS rank, round(sum(rating * rating), 6) AS energy, count(*) AS ratings, true AS explained_is_a_share,
+       true AS values_fall, true AS orthonormal, true AS energy_is_that_of_the_values FROM ratings GROUP BY item_id""",
 )
 def _(spark, sf):
-    """Item factors: their length, and whether the singular values fall and explain a share of the variance."""
-    model = svd(spark, sf)
+    """Item factors with what makes them singular vectors: a wrong factor breaks a flag.
+
+    The items' vectors are orthonormal, and the sum of rating times prediction is the sum of the squared values.
+    """
+    rated = cut_lineage(ratings(spark, sf))
+    model = factors.svd_train(rated)
     values = model.singular_values
     falls = all(a >= b > 0 for a, b in zip(values, values[1:]))
     share = 0 < model.explained_variance <= 1
-    return model.items.select(
-        "id", F.size("val").alias("rank"), F.lit(share).alias("explained_is_a_share"), F.lit(falls).alias("values_fall")
-    )
+    gram = factors._gram(model.items.select(*[F.get("val", F.lit(j)).alias(f"v{j}") for j in range(len(values))]), [f"v{j}" for j in range(len(values))])
+    orthonormal = bool(np.abs(gram - np.eye(len(values))).max() < 1e-6)
+    energy = factors.predict(model, rated).agg(F.sum(F.col("rating") * F.col("prediction"))).first()[0]
+    matches = abs(energy / sum(v * v for v in values) - 1) < 1e-6
+    flags = {"explained_is_a_share": share, "values_fall": falls, "orthonormal": orthonormal, "energy_is_that_of_the_values": matches}
+    sums = rated.groupBy(F.col("item_id").alias("id")).agg(F.sum(F.col("rating") * F.col("rating")).alias("energy"), F.count(F.lit(1)).alias("ratings"))
+    return model.items.join(sums, "id").select("id", F.size("val").alias("rank"), "energy", "ratings", *[F.lit(v).alias(k) for k, v in flags.items()])
 
 
 @query("collaborative_recs")
@@ -195,10 +206,25 @@ def _(spark, sf):
     return list_facts(factors.factor_recs(svd(spark, sf), rated), rated)
 
 
-@query("als_train", "SELECT user_id AS id, 10 AS rank FROM ratings GROUP BY user_id")
+def normal_equations(model, rated, reg=0.1):
+    """Per user the largest defect of the least-squares equations: sum of error times item vector less reg times n times own vector."""
+    rank = len(model.users.first()["val"])
+    rows = factors.predict(model, rated.select("user_id", "item_id", "rating")).withColumn("error", F.col("rating") - F.col("prediction"))
+    rows = rows.join(model.items.select(F.col("id").alias("item_id"), F.col("val").alias("_i")), "item_id")
+    sums = rows.groupBy(F.col("user_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("ratings"), F.array(*[F.sum(F.col("error") * F.get("_i", F.lit(j))) for j in range(rank)]).alias("pull")
+    )
+    both = sums.join(model.users, "id")
+    defect = F.array_max(F.zip_with("pull", "val", lambda p, v: F.abs(p - v * reg * F.col("ratings"))))
+    return both.select("id", F.size("val").alias("rank"), "ratings", defect.alias("defect"))
+
+
+@query("als_train", "SELECT user_id AS id, 10 AS rank, count(*) AS ratings, true AS solved FROM ratings GROUP BY user_id")
 def _(spark, sf):
-    model = factors.als_train(ratings(spark, sf))
-    return model.users.select("id", F.size("val").alias("rank"))
+    """User factors, each held against the equations that the last half-step solves."""
+    rated = cut_lineage(ratings(spark, sf))
+    found = normal_equations(factors.als_train(rated), rated)
+    return found.select("id", "rank", "ratings", (F.col("defect") < 1e-3).alias("solved"))
 
 
 @query("score_all_pairs")

@@ -267,12 +267,26 @@ def test_session_gap_is_strict_and_crosses_chunks(spark):
         assert got == [1, 1, 2, 3]
 
 
-def test_exact_percentile(spark):
-    values = [1.0, 1.0, 2.0, 10.0, 11.0, 11.0, 40.0]
-    df = spark.createDataFrame([(v,) for v in values + [None]], "v double")
-    for q in (0.0, 0.3, 0.5, 0.95, 1.0):
-        got = df.limit(1).select(monitoring.exact_percentile(df, "v", q)).first()[0]
-        assert got == pytest.approx(np.quantile(values, q))
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(4)
+    shares = (0.0, 0.3, 0.5, 0.95, 1.0)
+    for values in (
+        [1.0, 1.0, 2.0, 10.0, 11.0, 11.0, 40.0],
+        [-3.5, -0.0, 0.0, 1e-310, -1e300, 7.0],
+        [2.0] * 50 + rng.normal(size=301).tolist() + [2.0 + 2**-50] * 3,
+        [5.0],
+    ):
+        df = spark.createDataFrame([(v,) for v in values + [None]], "v double").repartition(3)
+        assert monitoring.exact_percentiles(df, "v", shares) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+    assert monitoring.exact_percentiles(df.filter("v is null"), "v", (0.5,)) == [None]
+    assert monitoring.exact_percentiles(spark.createDataFrame([(1.0,), (float("inf"),), (float("inf"),)], "v double"), "v", (0.0, 1.0)) == [1.0, float("inf")]
+
+
+def test_ordered_bits_keep_the_order():
+    values = np.array([-np.inf, -1e300, -2.5, -5e-324, 0.0, 5e-324, 1.0, 1.0 + 2**-52, np.inf])
+    bits = monitoring.ordered_bits(values)
+    assert (np.diff(bits.astype(object)) > 0).all() and monitoring.ordered_bits(np.array([-0.0]))[0] == monitoring.ordered_bits(np.array([0.0]))[0]
+    assert [monitoring.from_ordered_bits(int(b)) for b in bits] == values.tolist()
 
 
 def test_alert_comparisons_are_strict(spark):
@@ -322,3 +336,29 @@ def test_propagation_matches_numpy(spark, matrix):
     want = (u + norm @ i + norm @ (norm.T @ u)) / 3
     out = np.array([[r.v0, r.v1] for r in got.orderBy("user_id").collect()])
     assert np.allclose(out, want)
+
+
+def test_unseen_lists_hold_the_whole_complement(spark):
+    users = spark.createDataFrame([(1,), (2,), (2,)], "user_id long")
+    items = spark.createDataFrame([(i,) for i in range(25)], "item_id long")
+    rated = spark.createDataFrame([(1, 3), (1, 3), (1, 24), (9, 1)], "user_id long, item_id long")
+    got = {}
+    for r in ranking.unseen_lists(users, items, rated, 10).collect():
+        assert r["items"] == sorted(r["items"]) and {i // 10 for i in r["items"]} == {r.block}
+        got.setdefault(r.user_id, set()).update(r["items"])
+    assert got == {1: set(range(25)) - {3, 24}, 2: set(range(25))}
+
+
+def test_list_quality_returns_and_watched_share(spark):
+    log = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 1), (2, 1, 1), (3, 1, 0)], "user_id int, position int, clicked int")
+    best = 1 / np.log2(2) + 1 / np.log2(3)
+    want = ((1 / np.log2(3) + 1 / np.log2(4)) / best + 1) / 2
+    assert bandits.list_quality(log, ["user_id"], ["position"]).first().ndcg == pytest.approx(want)
+    days = [(1, "2024-01-01"), (1, "2024-01-01"), (1, "2024-01-08"), (2, "2024-01-01"), (2, "2024-01-20"), (3, "2024-01-05")]
+    active = spark.createDataFrame(days, "user_id int, timestamp string").withColumn("timestamp", F.to_timestamp("timestamp"))
+    row = bandits.return_rates(active).first()
+    assert (row.retention_7d, row.retention_30d) == (pytest.approx(100 / 3), pytest.approx(200 / 3))
+    watched = spark.createDataFrame([(1, 30.0), (1, 90.0), (2, 10.0), (3, 5.0)], "item_id int, minutes double")
+    items = spark.createDataFrame([(1, 60), (2, 0)], "item_id int, duration int")
+    row = bandits.watch_figures(watched, items).first()
+    assert (row.watch_time, row.completion_rate) == (135.0, pytest.approx(0.75))

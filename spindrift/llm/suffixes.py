@@ -258,7 +258,7 @@ class _Slot:
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(fresh) - 1
         # The sort is stable and runs follow the documents, so the first of equal ones is the earliest.
-        self.content, self.opener = content[order[fresh]], self.runs[order[fresh]]
+        self.opener = self.runs[order[fresh]]
         doc = self.row_doc[self.row]
         self.known = doc[self.runs] > doc[self.opener][self.number]
 
@@ -278,7 +278,7 @@ def _ask_keys(table: pa.Table, buckets: int, length: int) -> pa.Table:
 
 
 def _ask_segments(table: pa.Table, replies: pa.Table, buckets: int, length: int) -> pa.Table:
-    """One question for each bucket: documents, minimizers, content hashes, sizes and bytes of the slot's segments there."""
+    """One question for each bucket: documents, minimizers, sizes and bytes of the slot's segments there."""
     slot = _Slot(table, length)
     slot.segments(flags_for(slot.asked, buckets, replies_of(replies, 1)))
     doc, turn = document_keys(slot.table)
@@ -286,7 +286,7 @@ def _ask_segments(table: pa.Table, replies: pa.Table, buckets: int, length: int)
     for part in chosen.values():
         run = slot.opener[part]
         rows, low, high = slot.row[run], slot.low[run], slot.high[run]
-        arrays = doc[rows], turn[rows], slot.key[run], slot.content[part, 0], slot.content[part, 1], (high - low).astype(np.int32)
+        arrays = doc[rows], turn[rows], slot.key[run], (high - low).astype(np.int32)
         data.append(b"".join([np.int64(len(part)).tobytes(), *(x.tobytes() for x in arrays), slot.gathered(low, high)]))
     return pa.table({"slot": pa.array(np.full(len(data), table.column("slot")[0].as_py()), pa.int32()), "bucket": pa.array(list(chosen), pa.int32()), "payload": pa.array(data, pa.binary())})
 
@@ -308,14 +308,15 @@ class _Segments:
         buffers = [x.as_buffer() for x in payloads]
         self.counts = [int(np.frombuffer(x, np.int64, 1)[0]) for x in buffers]
         columns = []
-        self.bodies, starts = [], []
+        self.bodies = []
         for data, n in zip(buffers, self.counts, strict=True):
-            columns.append([np.frombuffer(data, kind, n, 8 + 8 * n * k) for k, kind in enumerate((np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int32))])
-            self.bodies.append(np.frombuffer(data, np.uint8, -1, 8 + 44 * n))
-            sizes = columns[-1][-1].astype(np.int64)
-            starts.append(np.cumsum(sizes) - sizes)
-        self.doc, self.turn, self.key, self.high, self.low, self.size = (np.concatenate(c) for c in zip(*columns, strict=True))
-        self.start, self.part = np.concatenate(starts), np.repeat(np.arange(len(buffers)), self.counts)
+            held = [np.frombuffer(data, kind, n, 8 + 8 * n * k) for k, kind in enumerate((np.int64, np.int64, np.uint64, np.int32))]
+            body = np.frombuffer(data, np.uint8, -1, 8 + 28 * n)
+            ends = np.cumsum(held[-1], dtype=np.int64)
+            columns.append([*held, *content_hashes(body, ends - held[-1], ends).T, ends - held[-1]])
+            self.bodies.append(body)
+        self.doc, self.turn, self.key, self.size, self.high, self.low, self.start = (np.concatenate(c) for c in zip(*columns, strict=True))
+        self.part = np.repeat(np.arange(len(buffers)), self.counts)
 
     def content(self, i: int) -> bytes:
         a = self.start[i]

@@ -201,6 +201,39 @@ def response_time_stats(df: DataFrame) -> DataFrame:
     ).withColumns({"median": F.lit(median).cast("double"), "p95": F.lit(p95).cast("double")})
 
 
+#: Sizes of the sketches: about 0.8 % standard error for distinct users, about 0.4 % in rank for quantiles.
+USERS_LG_K, TIMES_K = 14, 800
+
+
+def sketch_rollup(df: DataFrame, ts: str = "timestamp", unit: str = "hour") -> DataFrame:
+    """Per hour (or other unit): counts, and sketches of the distinct users and of the response times.
+
+    Unlike a count of distinct users or a percentile, sketches can be merged, so days and weeks come from stored hours.
+    """
+    return df.groupBy(F.date_trunc(unit, F.col(ts)).alias("period")).agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if("success").alias("successful"),
+        F.hll_sketch_agg(F.col("user_id").cast("string"), F.lit(USERS_LG_K)).alias("users"),
+        F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), F.lit(TIMES_K)).alias("times"),
+    )
+
+
+def merge_rollup(rollup: DataFrame, unit: str) -> DataFrame:
+    """A coarser rollup from a finer one; merging in steps gives what one step gives, within the sketches' error."""
+    return rollup.groupBy(F.date_trunc(unit, "period").alias("period")).agg(
+        F.sum("requests").alias("requests"),
+        F.sum("successful").alias("successful"),
+        F.hll_union_agg("users").alias("users"),
+        F.kll_merge_agg_double("times").alias("times"),
+    )
+
+
+def rollup_figures(rollup: DataFrame, shares: Mapping[str, float] = {"median": 0.5, "p95": 0.95}) -> DataFrame:
+    """Figures of every period: counts, success rate, estimated users and quantiles."""
+    quantiles = [F.kll_sketch_get_quantile_double("times", F.lit(q)).alias(name) for name, q in shares.items()]
+    return rollup.select("period", "requests", _rate(F.col("successful"), F.col("requests")).alias("success_rate"), F.hll_sketch_estimate("users").alias("users"), *quantiles)
+
+
 def error_analysis(df: DataFrame, n: int = 3) -> DataFrame:
     """Most frequent error types with the total and the error rate in percent."""
     totals = df.agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import discovery, documents, ranking
+from ..operators import discovery, documents, ranking, store
 from ..sources import tables
 from .base import add_view, query
 from .cleaning_queries import FILTER_SQL, FILTERS
@@ -207,6 +207,31 @@ def _(spark, sf):
     return documents.upsert_documents(old, changed.unionByName(added))
 
 
+@query(
+    "document_store",
+    """
+SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN genre = 'PROMO' THEN 'new ' || title ELSE title END AS title
+FROM items WHERE genre <> 'SMALL' AND item_id % 50 <> 7
+UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier""",
+)
+def _(spark, sf):
+    """The catalogue in a bucketed store: one merge with changes and additions, one with deletions, and a replay."""
+    from .source_queries import scratch
+
+    items = tables.content(spark, sf)
+    text_id = F.col("item_id").cast("string").alias("id")
+    held = store.DocumentStore(scratch(spark, "store"), buckets=16)
+    held.create(items.filter("genre <> 'SMALL'").select(text_id, "title"))
+    changed = items.filter("genre = 'PROMO'").select(text_id, F.concat(F.lit("new "), "title").alias("title"))
+    added = tables.table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title")
+    )
+    held.merge(changed.unionByName(added), batch="changes")
+    held.merge(changed.limit(0), items.filter("item_id % 50 = 7").select(text_id), batch="removals")
+    held.merge(changed.unionByName(added), batch="changes")
+    return held.read(spark)
+
+
 @query(
     "delete_documents",
     "SELECT CAST(item_id AS VARCHAR) AS id, title FROM items WHERE genre <> 'SMALL'",

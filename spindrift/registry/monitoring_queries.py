@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import monitoring, sessions
+from ..session import cut_lineage
 from ..sources import tables
 from .base import add_view, query
 
@@ -138,6 +139,35 @@ def _(spark, sf):
     return monitoring.response_time_stats(tables.requests(spark, sf))
 
 
+@query(
+    "sketch_rollups",
+    """
+SELECT unit, CAST(period AS VARCHAR) AS period, count(*) AS requests, count(DISTINCT user_id) AS exact_users,
+       round(count(*) FILTER (success) / count(*) * 100, 6) AS success_rate, true AS users_near, true AS median_near, true AS p95_near
+FROM (SELECT *, unnest(['day', 'week']) AS unit, unnest([date_trunc('day', timestamp), date_trunc('week', timestamp)])::TIMESTAMP AS period
+      FROM requests) GROUP BY unit, period""",
+)
+def _(spark, sf):
+    """Days and weeks from merged hours, held against exact figures: users within 4 %, quantiles within 2 % in rank."""
+    rows = tables.requests(spark, sf)
+    stored = cut_lineage(monitoring.sketch_rollup(rows))
+    days = monitoring.merge_rollup(stored, "day")
+    found = None
+    for unit, merged in (("day", days), ("week", monitoring.merge_rollup(days, "week"))):
+        figures = monitoring.rollup_figures(merged)
+        exact = rows.withColumn("period", F.date_trunc(unit, "timestamp")).join(figures.select("period", "median", "p95"), "period")
+        below = {name: F.count_if(F.col("duration_ms") < F.col(name)) / F.count(F.lit(1)) for name in ("median", "p95")}
+        upto = {name: F.count_if(F.col("duration_ms") <= F.col(name)) / F.count(F.lit(1)) for name in ("median", "p95")}
+        near = {n: (below[n] <= q + 0.02) & (upto[n] >= q - 0.02) for n, q in (("median", 0.5), ("p95", 0.95))}
+        exact = exact.groupBy("period").agg(F.count_distinct("user_id").alias("exact_users"), *[v.alias(f"{n}_near") for n, v in near.items()])
+        part = figures.join(exact, "period").select(
+            F.lit(unit).alias("unit"), "period", "requests", "exact_users", "success_rate",
+            (F.abs(F.col("users") - F.col("exact_users")) <= 1 + 0.04 * F.col("exact_users")).alias("users_near"), "median_near", "p95_near",
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query(
     "error_analysis",
     """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import monitoring, sessions
+from ..operators import contexts, monitoring, sessions
 from ..session import cut_lineage
 from ..sources import tables
 from .base import add_view, query
@@ -551,6 +551,26 @@ def _(spark, sf):
     return sessions.next_item_counts(tables.events(spark, sf), "k", top=5, gap_minutes=360)
 
 
+@query(
+    "next_item_contexts",
+    """
+WITH g AS (SELECT user_id, event_id, timestamp, k, date_diff('microsecond', lag(timestamp) OVER w, timestamp) > 86400 * 1000000::BIGINT AS f
+           FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, event_id)),
+s AS (SELECT *, sum(coalesce(f, true)::INTEGER) OVER (PARTITION BY user_id ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g),
+l AS (SELECT k AS next_item, lag(k) OVER w AS a, lag(k, 2) OVER w AS b, lag(k, 3) OVER w AS c FROM s
+      WINDOW w AS (PARTITION BY user_id, no ORDER BY timestamp, event_id)),
+c AS (SELECT '' AS context, next_item FROM l
+      UNION ALL SELECT a::VARCHAR, next_item FROM l WHERE a IS NOT NULL
+      UNION ALL SELECT a || '|' || b, next_item FROM l WHERE b IS NOT NULL
+      UNION ALL SELECT a || '|' || b || '|' || c, next_item FROM l WHERE c IS NOT NULL),
+n AS (SELECT context, next_item::BIGINT AS next_item, count(*) AS n, sum(count(*)) OVER (PARTITION BY context)::BIGINT AS total FROM c GROUP BY 1, 2)
+SELECT * FROM n WHERE total >= 5""",
+)
+def _(spark, sf):
+    """Contexts of up to three items with at least five followers; shorter parts of a context have no fewer."""
+    return contexts.context_tree(contexts.session_positions(tables.events(spark, sf), "k", 24 * 60))
+
+
 @query(
     "binge_sessions",
     """

@@ -29,14 +29,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     All rows stay, also those whose text becomes empty. n_chars is that of the new text.
     """
-    cut = anchors.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return _with_text(cut.withColumn("text", text), docs)
+    names = docs.columns
+    # Plain names, so that no column clashes with what the operator adds.
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    body = f"_c{names.index('text')}"
+    cut = anchors.remove_repeats(plain, f"_c{names.index('doc_id')}", body)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(body))
+    return _counted(cut.withColumn(body, text).select(*plain.columns).toDF(*names))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes its kind in brackets; all rows stay. n_chars is that of the new text."""
-    return _with_text(pii.redact(docs), docs)
+    return _counted(pii.redact(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +48,12 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, BPE)
 
 
-def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, n_chars counted anew where it was known."""
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(*[pii.clean_name(c) for c in docs.columns])
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars counted anew where it was known."""
+    if "n_chars" not in docs.columns:
+        return docs
+    n = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), n))
 
 
 STAGES = [

@@ -221,26 +221,22 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    All rows and columns stay; null texts stay null.
+    All rows and columns stay, whatever their names; null texts stay null.
     """
     found = find_spans(docs, doc_id, text, **how).where(F.size("spans") > 0)
     found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    body = F.col(text)
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    id_, body = F.col(f"_c{names.index(doc_id)}"), F.col(f"_c{names.index(text)}")
 
     def step(state: Column, s: Column) -> Column:
         gap = F.substring(body, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
         apart = s["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, F.concat(state["out"], gap, names[s["rank"]])).otherwise(state["out"]).alias("out"))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, F.concat(state["out"], gap, kinds[s["rank"]])).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(F.col("_spans"), start, step, lambda state: F.concat(state["out"], F.substring(body, state["at"] + 1, F.length(body))))
-    match = (F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))) == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id"))
-    names_kept = [clean_name(c) for c in docs.columns]
-    joined = docs.join(found, match, "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), body).otherwise(clean)).select(*names_kept)
-
-
-def clean_name(name: str) -> str:
-    """A column name quoted for select."""
-    return "`" + name.replace("`", "``") + "`"
+    match = (F.xxhash64(id_.cast("long"), F.coalesce(body, F.lit(""))) == F.col("_key")) & id_.eqNullSafe(F.col("_id"))
+    joined = plain.join(found, match, "left")
+    return joined.withColumn(f"_c{names.index(text)}", F.when(F.col("_spans").isNull(), body).otherwise(clean)).select(*plain.columns).toDF(*names)

@@ -86,16 +86,20 @@ def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the counts of :data:`COUNTS` for every row; a null text has no words."""
+def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id and the counts of :data:`COUNTS` for every row; a null text has no words. With ``hashed`` also ``hash``, XXH64 of the text."""
+    more = ["hash"] * hashed
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = text_statistics(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[c], pa.int64()) for c in COUNTS]], ["doc_id", *COUNTS])
+            made = [pa.array(found[c], pa.int64()) for c in COUNTS] + [batch.column(2) for _ in more]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", *COUNTS, *more])
 
     plain = take(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return plain.mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    if hashed:
+        plain = plain.withColumn("hash", F.xxhash64("text"))
+    return plain.mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in (*COUNTS, *more)))
 
 
 def features(batch: pa.RecordBatch) -> np.ndarray:
@@ -215,7 +219,7 @@ def _fit(labelled: DataFrame, sample: int, trees: int) -> Forest | None:
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, trees: int = 100, loss: float = 0.002, base_words: int = 20, base_repeats: int = 30
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, trees: int = 100, loss: float = 0.002, base_words: int = 20, base_repeats: int = 30, hashed: bool = False
 ) -> DataFrame:
     """(doc_id, the counts, base_failed, score, kept) for every row of ``docs``.
 
@@ -226,7 +230,7 @@ def judge(
     base rules count. Repeated rows get the same verdict each; a null text fails.
     """
     failed = (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > base_repeats * F.col("n_words"))
-    rows = cut_lineage(statistics(docs, doc_id, text).withColumn("base_failed", failed))
+    rows = cut_lineage(statistics(docs, doc_id, text, hashed).withColumn("base_failed", failed))
     known = take(labels, doc_id="doc_id", quality="quality").where("quality is not null")
     labelled = rows.where(~F.col("base_failed")).join(known, "doc_id")
     forest = _fit(labelled, sample, trees)
@@ -236,6 +240,9 @@ def judge(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps; where rows of one id differ in verdict, all of them stay."""
-    kept = judge(docs, labels, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of ``docs`` that :func:`judge` keeps, each by its own text, also where an id is null or stands twice."""
+    kept = judge(docs, labels, doc_id, text, hashed=True).where("kept").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    same = F.col(f"_c{names.index(doc_id)}").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(f"_c{names.index(text)}") == F.col("_hash"))
+    return plain.join(kept, same, "left_semi").toDF(*names)

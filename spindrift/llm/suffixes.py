@@ -301,6 +301,17 @@ def _by_bucket(slot: _Slot, buckets: int) -> dict[int, np.ndarray]:
     return {int(key[p[0]] // step): p for p in np.split(order, cuts) if len(p)}
 
 
+def _hashes_in_parts(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Content hashes of adjacent segments, for about :data:`SORT_BYTES` of them at a time."""
+    out, first = np.empty((len(low), 2), np.uint64), 0
+    while first < len(low):
+        last = max(first + 1, int(np.searchsorted(high, low[first] + SORT_BYTES, "right")))
+        a, b = low[first], high[last - 1]
+        out[first:last] = content_hashes(body[a:b], low[first:last] - a, high[first:last] - a)
+        first = last
+    return out
+
+
 class _Segments:
     """The questions of a bucket: what describes each segment, joined, and views of the bytes."""
 
@@ -313,7 +324,7 @@ class _Segments:
             held = [np.frombuffer(data, kind, n, 8 + 8 * n * k) for k, kind in enumerate((np.int64, np.int64, np.uint64, np.int32))]
             body = np.frombuffer(data, np.uint8, -1, 8 + 28 * n)
             ends = np.cumsum(held[-1], dtype=np.int64)
-            columns.append([*held, *content_hashes(body, ends - held[-1], ends).T, ends - held[-1]])
+            columns.append([*held, *_hashes_in_parts(body, ends - held[-1], ends).T, ends - held[-1]])
             self.bodies.append(body)
         self.doc, self.turn, self.key, self.size, self.high, self.low, self.start = (np.concatenate(c) for c in zip(*columns, strict=True))
         self.part = np.repeat(np.arange(len(buffers)), self.counts)

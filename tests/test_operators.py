@@ -362,3 +362,25 @@ def test_list_quality_returns_and_watched_share(spark):
     items = spark.createDataFrame([(1, 60), (2, 0)], "item_id int, duration int")
     row = bandits.watch_figures(watched, items).first()
     assert (row.watch_time, row.completion_rate) == (135.0, pytest.approx(0.75))
+
+
+def test_vocabulary_is_exact_whatever_the_sketch_merges(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{int(x)}x" for x in rng.zipf(1.4, int(rng.integers(0, 60))) if x < 400) for _ in range(150)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    for cells in (7, 200, 1 << 18):
+        monkeypatch.setattr(tfidf, "SKETCH_CELLS", cells)
+        for bigrams, min_df, max_df, top in ((False, 1, 1.0, 20), (True, 3, 0.5, 35), (True, 1, 1.0, 100_000)):
+            total, df = {}, {}
+            for text in texts:
+                words = (text or "").split()
+                terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])] * bigrams
+                for t in terms:
+                    total[t] = total.get(t, 0) + 1
+                for t in set(terms):
+                    df[t] = df.get(t, 0) + 1
+            known = [t for t in total if min_df <= df[t] <= max_df * len(texts)]
+            want = {t: df[t] for t in sorted(known, key=lambda t: (-total[t], t))[:top]}
+            words = tfidf.document_terms(docs, "item_id", "text")
+            got = {r.term: r.df for r in tfidf.vocabulary(words, len(texts), bigrams, min_df, max_df, top).collect()}
+            assert got == want

@@ -234,7 +234,7 @@ class _Slot:
             highs.append(high + at)
             done, at = done + len(offsets) - 1, at + len(body)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.key, self.row, self.total = join(keys, np.uint64), join(rows, np.int32), at
+        self.key, self.row = join(keys, np.uint64), join(rows, np.int32)
         self.low, self.high = join(lows, np.int64), join(highs, np.int64)
         self.asked, self.index = np.unique(self.key, return_inverse=True)
         doc = self.row_doc[self.row]
@@ -420,10 +420,12 @@ def _remove(table: pa.Table, replies: pa.Table, buckets: int, length: int) -> pa
         lows.append(slot.low[run] + np.repeat(a, times))
         highs.append(slot.low[run] + np.repeat(b, times))
     low, high = np.concatenate(lows), np.concatenate(highs)
-    removed = covered(low, high - low, slot.total)
+    order = np.argsort(low, kind="stable")
+    low, width = low[order], (high - low)[order]
     n_bytes, n_removed, n_spans, kept = [], [], [], []
     for body, offsets, at in slot.parts:
-        gone = removed[at : at + len(body)]
+        first, last = np.searchsorted(low, [at, at + len(body)])
+        gone = covered(low[first:last] - at, width[first:last], len(body))
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         edge = offsets[(offsets > 0) & (offsets < len(body))]

@@ -59,7 +59,24 @@ def _(spark, sf):
     return bandits.ucb_score(bandits.arm_counts(log(spark, sf)), n=20)
 
 
-@query("thompson_sampling")
+def gamma_sql(column):
+    u, angle, test = (UNIFORM.format(k=f"'42{column}|' || item_id || '|' || t || '{part}'") for part in "xyz")
+    return f"""
+SELECT item_id, any_value(d) AS d, min_by(d * v, t) FILTER (v > 0 AND ln(1 - z) < x * x / 2 + d - d * v + d * ln(greatest(v, 1e-300))) AS g FROM (
+  SELECT item_id, t, d, z, x, pow(1 + x / sqrt(9 * d), 3) AS v FROM (
+    SELECT item_id, t, {column} + 1 - 1.0::DOUBLE / 3 AS d, {test} AS z, sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * ({angle})) AS x
+    FROM arms, (SELECT unnest(range(0, 8)) AS t))) GROUP BY item_id"""
+
+
+@query(
+    "thompson_sampling",
+    f"""
+WITH w AS ({gamma_sql("successes")}), l AS ({gamma_sql("failures")}),
+s AS (SELECT a.item_id, successes, failures, coalesce(w.g, w.d) / (coalesce(w.g, w.d) + coalesce(l.g, l.d)) AS score
+      FROM arms a JOIN w USING (item_id) JOIN l USING (item_id))
+SELECT item_id, successes, failures, round(score, 6) AS score,
+       CAST(row_number() OVER (ORDER BY round(score, 6) DESC, item_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20""",
+)
 def _(spark, sf):
     return bandits.thompson_sampling(bandits.arm_counts(log(spark, sf)), n=20)
 

@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.hashing import md5_uniform
 from ..operators import evaluation, factors, neural, ranking, samples, tfidf
 from ..plans import models
 from ..session import cut_lineage, shared_dir
 from ..sources import tables
+from .bandit_queries import UNIFORM
 from .base import add_view, query
 from .cleaning_queries import clean
 from .experiment_queries import BUCKET
@@ -323,15 +325,29 @@ def _(spark, sf):
     return models.run_training(clean(spark, sf), content)[1]
 
 
-@query("lightgcn_propagate")
+def start_sql(key):
+    uniform = UNIFORM.format(k=f"'{key}' || j || '|' || {key}")
+    return f"SELECT {key}, j, {uniform} * 2 - 1 AS x FROM (SELECT DISTINCT {key} FROM e), (SELECT unnest(range(0, 8)) AS j)"
+
+
+@query(
+    "lightgcn_propagate",
+    f"""
+WITH e AS (SELECT DISTINCT user_id, item_id FROM clean),
+w AS (SELECT user_id, item_id, 1 / sqrt(count(*) OVER (PARTITION BY user_id) * count(*) OVER (PARTITION BY item_id)) AS w FROM e),
+u0 AS ({start_sql("user_id")}),
+i0 AS ({start_sql("item_id")}),
+u1 AS (SELECT user_id, j, sum(w * x) AS x FROM w JOIN i0 USING (item_id) GROUP BY 1, 2),
+i1 AS (SELECT item_id, j, sum(w * x) AS x FROM w JOIN u0 USING (user_id) GROUP BY 1, 2),
+u2 AS (SELECT user_id, j, sum(w * x) AS x FROM w JOIN i1 USING (item_id) GROUP BY 1, 2),
+m AS (SELECT user_id, j, sum(x) / 3 AS x FROM (SELECT * FROM u0 UNION ALL SELECT * FROM u1 UNION ALL SELECT * FROM u2) GROUP BY 1, 2)
+SELECT user_id, {", ".join(f"round(max(x) FILTER (j = {j}), 6) AS v{j}" for j in range(8))} FROM m GROUP BY user_id""",
+)
 def _(spark, sf):
     """Two propagation layers from hash-based start vectors of eight columns."""
 
     def start(df, key):
-        columns = [
-            (F.pmod(F.xxhash64(F.col(key), F.lit(j)), F.lit(1000)) / 500 - 1).alias(f"v{j}") for j in range(8)
-        ]
-        return df.select(key, *columns)
+        return df.select(key, *[(md5_uniform(F.concat_ws("", F.lit(key), F.lit(str(j)), F.lit("|"), F.col(key))) * 2 - 1).alias(f"v{j}") for j in range(8)])
 
     edges = clean(spark, sf)
     users = start(edges.select("user_id").distinct(), "user_id")

@@ -384,3 +384,11 @@ def test_vocabulary_is_exact_whatever_the_sketch_merges(spark, monkeypatch):
             words = tfidf.document_terms(docs, "item_id", "text")
             got = {r.term: r.df for r in tfidf.vocabulary(words, len(texts), bigrams, min_df, max_df, top).collect()}
             assert got == want
+
+
+def test_gamma_draws_have_the_moments_of_the_distribution(spark):
+    keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
+    for shape in (1.0, 4.5, 300.0):
+        draws = np.array([r.x for r in keys.select(bandits.gamma_draw(F.lit(shape), F.col("k")).alias("x")).collect()])
+        error = np.sqrt(shape / len(draws))
+        assert (draws > 0).all() and abs(draws.mean() - shape) < 4 * error and draws.var() == pytest.approx(shape, rel=0.15)

@@ -21,6 +21,9 @@ from .packed import QUESTION, REPLY, answer, document_keys, flags_for, in_order,
 
 PERIOD = 13
 
+#: Text bytes handled at once, with some ten times as much in arrays beside them.
+SLICE = 1 << 20
+
 
 def difference_cover(period: int) -> tuple[int, ...]:
     """The first smallest set whose differences reach every residue modulo ``period``."""
@@ -38,7 +41,7 @@ class _Slot:
         self.table, self.row_doc = in_order(table)
         self.window, self.reach = window, period - 1
         hashes, counts = [], []
-        for batch in slices(self.table.to_batches(), "text"):
+        for batch in slices(self.table.to_batches(), "text", SLICE):
             body, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
             starts, ends, firsts = word_spans(body, offsets)
             hashes.append(span_hashes(body, starts, ends))
@@ -101,7 +104,7 @@ def _remove(table: pa.Table, replies: pa.Table, buckets: int, window: int, perio
     repeat[slot.first] = flags_for(slot.g, buckets, replies_of(replies, 2))
     gone = covered(slot.starts[slot.order[repeat]], window, len(slot.h))
     texts, at = [], 0
-    for batch in slices(slot.table.to_batches(), "text"):
+    for batch in slices(slot.table.to_batches(), "text", SLICE):
         body, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
         starts, ends, firsts = word_spans(body, offsets)
         stays = ~gone[at : at + len(starts)]

@@ -42,6 +42,9 @@ MAY_HOLD = r"[0-9]|@|[A-Za-z][._%+:/#-]++[A-Za-z]"
 #: Characters beside a candidate in which its neighbouring words are looked for.
 CONTEXT = 48
 
+#: Patterns that are broadcast at most; their number is counted first, more are joined by a shuffle.
+BROADCAST_PATTERNS = 100_000
+
 SPAN = "struct<start:int,rank:int,end:int>"
 
 PLACED = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
@@ -142,8 +145,9 @@ def _patterns(c: str) -> Column:
 def plain_words(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, plain): about how many different words that are no identifiers stand in the place of a pattern.
 
-    ``patterns`` has the wanted patterns once each; it is broadcast, so that no word of the texts is exchanged. The
-    number is a HyperLogLog estimate with a deviation of 5 %, near exact for small ones.
+    ``patterns`` has the wanted patterns once each. Up to :data:`BROADCAST_PATTERNS` of them are broadcast, so that no
+    word of the texts is exchanged. The number is a HyperLogLog estimate with a deviation of 5 %, near exact for small
+    ones.
     """
     words = texts.select(F.array_remove(F.split(F.lower("text"), BLANKS), "").alias("words")).where(F.size("words") > 1)
     n = F.size("words") - 1
@@ -151,7 +155,8 @@ def plain_words(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     before = F.struct(F.concat(F.lit("before "), F.right("w.b", F.lit(CONTEXT))).alias("pattern"), F.col("w.a").alias("word"))
     after = F.struct(F.concat(F.lit("after "), F.left("w.a", F.lit(CONTEXT))).alias("pattern"), F.col("w.b").alias("word"))
     seen = pairs.select(F.explode(F.array(before, after)).alias("s")).select("s.pattern", "s.word")
-    held = seen.join(F.broadcast(patterns), "pattern", "left_semi")
+    few = patterns.count() <= BROADCAST_PATTERNS
+    held = seen.join(F.broadcast(patterns) if few else patterns, "pattern", "left_semi")
     return held.groupBy("pattern").agg(F.approx_count_distinct(F.when(~F.col("word").rlike(MAY_HOLD), F.col("word"))).alias("plain"))
 
 

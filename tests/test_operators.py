@@ -392,3 +392,18 @@ def test_gamma_draws_have_the_moments_of_the_distribution(spark):
         draws = np.array([r.x for r in keys.select(bandits.gamma_draw(F.lit(shape), F.col("k")).alias("x")).collect()])
         error = np.sqrt(shape / len(draws))
         assert (draws > 0).all() and abs(draws.mean() - shape) < 4 * error and draws.var() == pytest.approx(shape, rel=0.15)
+
+
+def test_unseen_lists_join_histories_before_block_ids(spark):
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    items = spark.createDataFrame([(i,) for i in range(10)], "item_id long")
+    rated = spark.createDataFrame([(1, 0), (1, 9), (2, 4), (2, 4)], "user_id long, item_id long")
+    found = ranking.unseen_lists(users, items, rated, 4)
+    got = {(r["user_id"], r["block"]): r["items"] for r in found.collect()}
+    assert got == {
+        (u, b): left for u in (1, 2, 3) for b in range(3)
+        if (left := [i for i in range(4 * b, min(4 * b + 4, 10)) if (u, i) not in {(1, 0), (1, 9), (2, 4)}])
+    }
+    # The arrays of ids must not lie below the join with the histories, whose exchange would send them for each user.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "all#" not in plan[plan.index("Join LeftOuter") :].split("Aggregate")[0]

@@ -407,3 +407,13 @@ def test_unseen_lists_join_histories_before_block_ids(spark):
     # The arrays of ids must not lie below the join with the histories, whose exchange would send them for each user.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "all#" not in plan[plan.index("Join LeftOuter") :].split("Aggregate")[0]
+
+
+def test_unseen_in_groups(spark):
+    items = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, None, "x"), (5, "b", "x")], "item_id long, genre string, category string")
+    rated = spark.createDataFrame([(7, 1), (7, 1), (8, 2), (8, 3), (9, 4), (9, 99), (6, 5)], "user_id long, item_id long")
+    found = ranking.unseen_in_groups(rated, items, ["genre", "category"])
+    assert sorted(map(tuple, found.collect())) == [(7, 2), (7, 2), (8, 1)]
+    # Candidates are not exchanged: nothing but the last projection lies above the explode.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate")]

@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,3 +418,30 @@ def test_unseen_in_groups(spark):
     # Candidates are not exchanged: nothing but the last projection lies above the explode.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan[: plan.index("Generate")]
+
+
+def test_blocks_follow_the_filled_entries(spark, monkeypatch):
+    def count(*_):
+        return lambda left, right: pa.table({"left_id": pa.array([0]), "right_id": pa.array([left.num_rows]), "score": pa.array([float(right.num_rows)])})
+
+    monkeypatch.setattr(vectors, "_cell", count)
+    long = spark.range(4096).select("id", F.lit(None).cast("array<bigint>").alias("idx"), F.array_repeat(F.lit(1.0), 64).alias("val"))
+    short = spark.range(4096).select("id", F.lit(None).cast("array<bigint>").alias("idx"), F.array(F.lit(1.0)).alias("val"))
+    for left, right, place in ((long, short, "right_id"), (short, long, "score")):
+        sent = vectors.dot_topn(left, right, 10_000).agg(F.sum(place)).first()[0]
+        assert sent == 4096, "the side with longer rows is sent once here"
+
+
+def test_factor_blocks_are_fewer_than_partitions(spark):
+    _, blocks, count = factors._numbered(spark.range(5000), 32)
+    assert count == 4 and blocks.count() == 4
+
+
+def test_factor_tables_are_written(spark):
+    ratings = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(12) for i in range(9)], "user_id long, item_id long, rating double")
+    model = factors.als_train(ratings, rank=2, iterations=1)
+    assert "Join" not in model.users._jdf.queryExecution().optimizedPlan().toString()
+    found = factors.predict(model, ratings.select("user_id", "item_id"), vectors=True).groupBy("user_id").agg(F.sum("prediction"), F.first("_i"))
+    held = {r["id"]: r["val"] for r in model.users.collect()}, {r["id"]: r["val"] for r in model.items.collect()}
+    for row in found.collect():
+        assert row[1] == pytest.approx(sum(float(np.dot(held[0][row[0]], held[1][i])) for i in range(9)))

@@ -445,3 +445,24 @@ def test_factor_tables_are_written(spark):
     held = {r["id"]: r["val"] for r in model.users.collect()}, {r["id"]: r["val"] for r in model.items.collect()}
     for row in found.collect():
         assert row[1] == pytest.approx(sum(float(np.dot(held[0][row[0]], held[1][i])) for i in range(9)))
+
+
+def test_negative_samples_across_chunks(spark, monkeypatch):
+    from spindrift.operators import samples as module
+
+    monkeypatch.setattr(module, "WALK_CHUNK", 3)
+    items = spark.createDataFrame([(i * 10,) for i in range(23)], "item_id long")
+    seen = [(1, 0), (1, 30), (1, 30), (2, 220), (3, 999), *((4, i * 10) for i in range(20)), *((5, i * 10) for i in range(23))]
+    found = module.negative_samples(spark.createDataFrame(seen, "user_id long, item_id long"), items)
+
+    def number(text, modulus):
+        return int(hashlib.md5(text.encode()).hexdigest(), 16) % modulus
+
+    want = set()
+    for user in range(1, 6):
+        mine = {i for u, i in seen if u == user}
+        a, b = 1 + number(f"42a{user}", 22), number(f"42b{user}", 23)
+        free = [i * 10 for j in range(min(5 * len(mine), 23)) if (i := (a * j + b) % 23) * 10 not in mine]
+        want |= {(user, i) for i in free[: 4 * len(mine)]}
+    got = [(r["user_id"], r["item_id"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want

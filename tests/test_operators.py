@@ -466,3 +466,14 @@ def test_negative_samples_across_chunks(spark, monkeypatch):
         want |= {(user, i) for i in free[: 4 * len(mine)]}
     got = [(r["user_id"], r["item_id"]) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_training_lists_are_written_once(spark):
+    from spindrift.plans import models
+
+    rows = [(u, i, float((u * i) % 5 + 1), datetime.datetime(2024, 1, 1)) for u in range(8) for i in range(8) if (u + i) % 3]
+    log = spark.createDataFrame(rows, "user_id long, item_id long, rating double, timestamp timestamp")
+    content = spark.createDataFrame([(i, f"title {i % 2}", "some plain words", "drama", "a,b") for i in range(8)], "item_id long, title string, description string, genre string, tags string")
+    recs, metrics = models.run_training(log, content, k=2, iterations=1, n=2)
+    assert "Window" not in recs._jdf.queryExecution().optimizedPlan().toString()
+    assert metrics.count() == 1

@@ -178,6 +178,29 @@ def test_pair_chunks_do_not_change_the_sums(matrix, monkeypatch):
     pd.testing.assert_frame_equal(whole, pd.concat(best(parts), ignore_index=True))
 
 
+def test_cells_hold_the_pairs_that_occur_only():
+    first, second = np.arange(0, 40_000, 2), np.arange(1, 40_000, 2)
+    rows = pd.DataFrame({"user_id": np.repeat(np.arange(20_000), 2), "item_id": np.column_stack([first, second]).ravel(), "rating": 2.0, "block": np.tile([0, 1], 20_000), "cell_a": 0, "cell_b": 1})
+    cell = similarity._Cell(0, 1)
+    cell.add(rows, True)
+    assert len(cell.best(10, None)) == 40_000 and cell.dots.size == 20_000
+
+
+def test_packed_cells_keep_every_pair_of_a_history(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 6, (50, 30)) * (rng.random((50, 30)) < 0.4)
+    u, i = np.nonzero(x)
+    rows = pd.DataFrame({"user_id": u, "item_id": i, "rating": x[u, i].astype(float)})
+    monkeypatch.setattr(similarity, "PACK_ROWS", 40)
+    packed = pd.concat(similarity._packed_cells(4)(rows.iloc[a : a + 17] for a in range(0, len(rows), 17)))
+    packed = packed.sort_values(["cell_a", "cell_b"], kind="stable")
+    best = pd.concat(similarity._stream_cells(100, None)(similarity._unpacked_cells(iter([packed.iloc[:5], packed.iloc[5:]]))))
+    want = x.T @ x
+    got = np.zeros((30, 30))
+    got[best["item_id"], best["similar_id"]] = best["score"]
+    assert not best.duplicated(["item_id", "similar_id"]).any() and (got == want - np.diag(np.diag(want))).all()
+
+
 def test_svd_matches_numpy(spark, matrix):
     x, df = matrix
     model = factors.svd_train(df, k=5, iterations=12)

@@ -1,5 +1,7 @@
 import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,58 @@ def test_restarted_dedup_goes_on_from_its_state(spark, tmp_path):
         jobs.split_late(jobs.first_rows(stream, ["event_id"], "1 hour"), *paths)
     assert sorted(r.event_id for r in spark.read.parquet(paths[0]).collect()) == [1, 2]
     assert [r.event_id for r in spark.read.parquet(paths[1]).collect()] == [3]
+
+
+def test_trending_counts_every_row_in_its_open_windows(spark, tmp_path):
+    schema = "user_id long, item_id long, rating double, timestamp timestamp"
+    rows = [
+        [(1, 7, 1.0, "00:10"), (2, 7, 2.0, "00:50"), (1, 7, 1.0, "02:20"), (1, 8, None, "02:30"), (1, 7, 4.0, "05:40")],
+        [(3, 7, 1.0, "04:59"), (2, 7, 1.0, "01:30"), (None, 7, 1.0, "05:10"), (1, 9, 1.0, "10:00")],
+        [(1, 7, 1.0, "03:00"), (1, None, 1.0, "20:00")],
+    ]
+    for part in rows:
+        feed(spark, tmp_path, [(u, i, r, datetime.datetime.fromisoformat(f"2024-01-02 {t}")) for u, i, r, t in part], schema)
+    stream = jobs.file_stream(spark, f"{tmp_path}/feed", spark.createDataFrame([], schema).schema, 1)
+    with jobs.rocks_state(spark):
+        got = jobs.collect_stream(jobs.trending(stream, window="3 hours", slide="1 hour"), "trending")
+        got = {(str(r.window_start)[5:13], r.item_id): (r.interaction_count, r.unique_users, r.trending_score and round(r.trending_score / np.log(r.unique_users + 1), 6)) for r in got.collect()}
+    # The second batch finds every window open; before the third those up to 04:40 are closed, so 03:00 counts from 02:00 on.
+    day = "01-0"
+    want = {
+        (f"{day}1 22", 7): (2, 2, 3.0), (f"{day}1 23", 7): (3, 2, 4.0), (f"{day}2 00", 7): (4, 2, 5.0), (f"{day}2 00", 8): (1, 1, None),
+        (f"{day}2 01", 7): (2, 2, 2.0), (f"{day}2 01", 8): (1, 1, None), (f"{day}2 02", 7): (3, 2, 3.0), (f"{day}2 02", 8): (1, 1, None),
+        (f"{day}2 03", 7): (4, 3, 7.0), (f"{day}2 04", 7): (3, 3, 6.0), (f"{day}2 05", 7): (2, 2, 5.0),
+        **{(f"{day}2 {h:02}", 9): (1, 1, 1.0) for h in (8, 9, 10)},
+    }
+    assert got == want
+
+
+def test_trending_state_has_one_entry_per_user_item_and_pane():
+    hour = 3_600_000_000
+
+    class Held:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        held = Held()
+        getValueState = lambda self, *_: self.held
+        registerTimer = lambda self, _: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 40 * hour // 1000
+
+    counter, handle = jobs.WindowUsers(24 * hour, hour), Handle()
+    counter.init(handle)
+    rows = pd.DataFrame({"micros": [41 * hour, 41 * hour + 5, 30 * hour], "item": "a", "user": ["u", "u", "v"], "rating": 1.0})
+    assert list(counter.handleInputRows((0,), iter([rows]), Times())) == []
+    (panes,), closed = counter._read()
+    assert closed == 40 * hour and sorted(panes[["user", "n"]].itertuples(index=False, name=None)) == [("u", 2), ("v", 1)]
+    Times.getCurrentWatermarkInMs = lambda self: 54 * hour // 1000
+    (found,) = counter.handleExpiredTimer((0,), Times(), None)
+    assert found["users"].max() == 2 and found["n"].max() == 3 and len(found) == 14
+    assert counter._read()[0][0]["user"].tolist() == ["u"]

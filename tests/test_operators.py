@@ -148,6 +148,26 @@ def test_sparse_products_match_numpy(spark, slice_rows):
     assert {(r.left_id, r.right_id, r["rank"]) for r in got} == want
 
 
+def test_dense_products_are_screened_in_single_precision_and_exact(monkeypatch):
+    rng = np.random.default_rng(11)
+    z = np.zeros(0, np.int64)
+    double = vectors._products
+    for scale in (1.0, 1e-3, 1e20):
+        # Scores that single precision cannot tell apart, and ties.
+        x, y = rng.normal(size=(300, 48)) * scale, np.repeat(rng.normal(size=(3, 48)), 400, axis=0) * scale
+        y[:, 0] += rng.integers(0, 5, 1200) * 3e-6 * scale
+        left, right = (vectors._Block(np.arange(len(m)), m, z, z, np.zeros(0)) for m in (x, y))
+        if scale < 1e10:
+            monkeypatch.setattr(vectors, "_products", None)
+        ids, other, score, _ = vectors.best_products(left, right, 7, None, False, (np.arange(5), np.arange(5)), 100)
+        monkeypatch.setattr(vectors, "_products", double)
+        exact = np.round(x @ y.T, 6)
+        exact[np.arange(5), np.arange(5)] = -np.inf
+        want = [(i, j) for i in range(300) for j in np.lexsort((np.arange(1200), -exact[i]))[:7]]
+        assert scale > 1 or list(zip(ids.tolist(), other.tolist())) == want
+        assert score == pytest.approx([exact[p] for p in want], rel=1e-9)
+
+
 def test_copies_of_a_row_stay_under_a_hundred():
     assert max(vectors.copies(10**7, 10**7)) < 100
 

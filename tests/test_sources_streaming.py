@@ -189,3 +189,31 @@ def test_trending_state_has_one_entry_per_user_item_and_pane():
     (found,) = counter.handleExpiredTimer((0,), Times(), None)
     assert found["users"].max() == 2 and found["n"].max() == 3 and len(found) == 14
     assert counter._read()[0][0]["user"].tolist() == ["u"]
+
+
+def test_dedup_state_holds_only_what_the_next_batch_can_need():
+    minute = 60_000_000
+
+    class Seen:
+        rows = []
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        clear = lambda self: self.put([])
+
+        def put(self, rows):
+            self.rows = rows
+
+    class Handle:
+        seen = Seen()
+        getListState = lambda self, *_: self.seen
+        registerTimer = lambda self, _: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    first, handle = jobs.FirstRows(10 * minute), Handle()
+    first.init(handle)
+    rows = pd.DataFrame({"micros": np.arange(1, 101) * minute, "key": [str(i) for i in range(1, 101)], "bucket": 0})
+    (found,) = first.handleInputRows((0,), iter([rows]), Times())
+    # The watermark will be at minute 90, where rows up to minute 80 are forgotten.
+    assert len(found) == 100 and sorted(int(key) for key, _ in handle.seen.rows) == list(range(81, 101))

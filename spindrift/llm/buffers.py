@@ -10,8 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes handled at once inside a task; a longer single text is handled alone.
-SLICE_BYTES = 4 << 20
+#: Text bytes handled at once inside a task, with some fifty times as much in arrays beside them; a longer single text
+#: is handled alone.
+SLICE_BYTES = 1 << 20
 
 #: The word separators of the contracts: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)

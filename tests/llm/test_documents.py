@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from spindrift.llm import anchors, licenses, packing, pii, quality, simhash, suffixes, tokens
+from spindrift.llm import anchors, buffers, licenses, packing, pii, quality, simhash, suffixes, tokens
 from spindrift.llm.queries import BPE
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,6 +53,18 @@ def test_repeated_words(planted, planted_texts, empty):
     assert anchors.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("work", [quality.text_statistics, simhash.text_fingerprints])
+def test_large_batches_are_handled_in_small_slices(work):
+    text = " ".join(f"w{i * 7919 % 5003}" for i in range(2000))
+    batch = pa.record_batch({"text": pa.array([text] * (8_000_000 // len(text)))})
+    tracemalloc.start()
+    for part in buffers.slices([batch], "text"):
+        work(part.column(0))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6, most
+
+
 def test_difference_cover_reaches_every_residue():
     for period in range(1, 20):
         cover = anchors.difference_cover(period)

@@ -25,7 +25,9 @@ from .ranking import SCORE_DIGITS
 #: Documents of one range; a block holds the postings of one term in one range.
 RANGE_DOCS = 64
 #: Documents of one shard, at most about.
-SHARD_DOCS = 50_000
+SHARD_DOCS = 16_384
+#: Words that one task numbers at once, and a range of documents more.
+SLICE_WORDS = 1 << 20
 #: Queries that one task scores at most about, for one shard.
 QUERY_PART = 500
 
@@ -39,7 +41,7 @@ def _lists(ends: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def shard_postings(table: pa.Table, average: float, k1: float, b: float, range_docs: int) -> pa.Table:
-    """Postings of one shard, a row for each term, from rows (shard, local, words)."""
+    """Postings of one slice of a shard, a row for each term, from rows (shard, local, words)."""
     local = table.column("local").to_numpy().astype(np.int64)
     words = table.column("words").combine_chunks()
     length = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -97,7 +99,8 @@ def build_index(
     """Write the index of ``docs`` under ``path``: documents with their attributes, postings, terms.
 
     Numbers follow the length of a document inside its shard, so short documents, whose impacts are high, share ranges.
-    ``shards`` follows the number of rows and the shuffle partitions.
+    ``shards`` follows the number of rows and the shuffle partitions. Postings are made by slices of a shard, which hold
+    whole ranges and a bounded number of words, so a term has a row for each slice.
     """
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -107,11 +110,14 @@ def build_index(
     rows = rows.withColumns({"shard": F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"), "length": F.size("words")})
     rows = rows.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     order = Window.partitionBy("shard").orderBy("length", "key")
-    numbered = cut_lineage(rows.withColumn("local", F.row_number().over(order) - 1))
+    before = F.coalesce(F.sum(F.size("words")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"local": F.row_number().over(order) - 1, "before": before})
+    opened = F.last(F.when(F.col("local") % range_docs == 0, F.col("before")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = cut_lineage(rows.withColumn("slice", F.floor(opened / SLICE_WORDS).cast("int")).drop("before"))
     stats = numbered.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
-    numbered.drop("words").write.parquet(f"{path}/documents")
+    numbered.drop("words", "slice").write.parquet(f"{path}/documents")
     average = stats["average"] or 1.0
-    postings = numbered.select("shard", "local", "words").groupBy("shard").applyInArrow(lambda t: shard_postings(t, average, k1, b, range_docs), POSTINGS)
+    postings = numbered.select("shard", "slice", "local", "words").groupBy("shard", "slice").applyInArrow(lambda t: shard_postings(t, average, k1, b, range_docs), POSTINGS)
     # Rows by term inside each file, so that a scan for a few terms skips row groups.
     postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
     index = SearchIndex(path, stats["n"], range_docs, tuple(attributes))

@@ -85,6 +85,30 @@ def test_equal_to_scoring_every_posting(built, queries, corpus):
     assert got == pytest.approx({(q, d): s for q, docs in want.items() for d, s in docs.items()}, abs=1e-6)
 
 
+def test_postings_are_made_by_slices_of_whole_ranges(spark, queries, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SLICE_WORDS", 500)
+    words, make = tmp_path / "words", index.shard_postings
+    words.mkdir()
+
+    def counted(table, *how):
+        local = table.column("local").to_pylist()
+        n = len(table.column("words").combine_chunks().flatten())
+        (words / f"{table.column('shard')[0]}-{min(local)}").write_text(f"{n} {min(local) % 8}")
+        return make(table, *how)
+
+    monkeypatch.setattr(index, "shard_postings", counted)
+    docs = spark.createDataFrame(corpus, SCHEMA).repartition(5)
+    sliced = index.build_index(docs, str(tmp_path / "i"), range_docs=8, shards=2)
+    made = [list(map(int, f.read_text().split())) for f in words.iterdir()]
+    assert len(made) > 20 and all(n <= 500 + 8 * 120 and not rest for n, rest in made)
+    postings = sliced.table(spark, "postings")
+    assert not postings.select("shard", "term", F.explode("ranges").alias("r")).groupBy("shard", "term", "r").count().filter("count > 1").count()
+    want = scored(corpus)
+    found = index.search_index(sliced, queries, 10, total=True)
+    assert listed(found.hits) == pages(want, 0, 10)
+    assert {r.query_id: r.total for r in found.totals.collect()} == {q: len(f) for q, f in want.items() if f}
+
+
 def test_blocks_are_skipped(built, queries):
     few, every = ({r.query_id: r for r in index.search_index(built, queries, k).blocks.collect()} for k in (5, 5000))
     assert all(r.skipped == 0 for r in every.values())

@@ -382,6 +382,31 @@ def test_propagation_matches_numpy(spark, matrix):
     assert np.allclose(out, want)
 
 
+def test_propagation_sends_vectors_by_block_and_not_by_edge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(factors, "CELL_EDGES", 4)
+    rng = np.random.default_rng(3)
+    a = rng.random((30, 20)) < 0.3
+    a[0], a[1, 1:], a[:, 2] = False, False, False
+    norm = np.nan_to_num(a / np.sqrt(np.maximum(np.outer(a.sum(1), a.sum(0)), 1)))
+    u, i = rng.normal(size=(30, 3)), rng.normal(size=(20, 3))
+    u[5], i[4] = 0, 0  # no start vector
+    edges = spark.createDataFrame([(int(x), int(y)) for x, y in zip(*np.nonzero(a), strict=True)] + [(None, 1), (2, None)], "user_id bigint, item_id bigint")
+    users = spark.createDataFrame([(n, *map(float, v)) for n, v in enumerate(u) if n != 5], "user_id bigint, a double, b double, c double")
+    items = spark.createDataFrame([(n, *map(float, v)) for n, v in enumerate(i) if n != 4], "item_id bigint, a double, b double, c double")
+    written, cut = [], factors.cut_lineage
+    monkeypatch.setattr(factors, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    got = factors.lightgcn_propagate(edges.union(edges), users, items, layers=3)
+    assert ["users", "items", "u", "i", "r"] in written and written.count(["block", "ids", "values"]) == 2 * 4
+    sides, x, y = [u.copy(), i.copy()], u, i
+    for _ in range(3):
+        x, y = norm @ y, norm.T @ x
+        sides = [sides[0] + x, sides[1] + y]
+    for key, df, want in zip(("user_id", "item_id"), got, sides, strict=True):
+        rows = df.orderBy(key).collect()
+        assert [r[key] for r in rows] == list(range(len(want)))
+        assert np.allclose([[r.v0, r.v1, r.v2] for r in rows], want / 4)
+
+
 def test_unseen_lists_hold_the_whole_complement(spark):
     users = spark.createDataFrame([(1,), (2,), (2,)], "user_id long")
     items = spark.createDataFrame([(i,) for i in range(25)], "item_id long")

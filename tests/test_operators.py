@@ -407,6 +407,21 @@ def test_propagation_sends_vectors_by_block_and_not_by_edge(spark, tmp_path, mon
         assert np.allclose([[r.v0, r.v1, r.v2] for r in rows], want / 4)
 
 
+def test_distinct_counts_stand_apart_from_the_other_aggregates(spark):
+    from datetime import datetime
+
+    rows = [(u, i, float(r), datetime(2024, 1, d)) for u, i, r, d in [(1, 5, 2, 1), (1, 5, 4, 2), (1, 6, 3, 3), (2, 5, 1, 4), (None, 5, 2, 4), (None, 5, 3, 5), (2, None, 5, 6)]]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double, timestamp timestamp")
+    by_user, by_item = features.user_stats(df), features.item_stats(df)
+    assert {(r.user_id, r.total_interactions, r.unique_items, r.avg_rating) for r in by_user.collect()} == {(1, 3, 2, 3.0), (2, 2, 1, 3.0), (None, 2, 1, 2.5)}
+    assert {(r.item_id, r.total_ratings, r.unique_users) for r in by_item.collect()} == {(5, 5, 2), (6, 1, 1), (None, 1, 1)}
+    assert by_user.columns[:8] == ["user_id", "total_interactions", "avg_rating", "rating_std", "min_rating", "max_rating", "unique_items", "first_interaction"]
+    for stats in (by_user, by_item):
+        plan = stats._jdf.queryExecution().toString()
+        exchanged = [x for x in plan.split("Physical Plan")[1].splitlines() if "partial_count(distinct" in x or ("stddev" in x and "item_id" in x and "user_id" in x)]
+        assert not exchanged, exchanged
+
+
 def test_unseen_lists_hold_the_whole_complement(spark):
     users = spark.createDataFrame([(1,), (2,), (2,)], "user_id long")
     items = spark.createDataFrame([(i,) for i in range(25)], "item_id long")

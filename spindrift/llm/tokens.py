@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from .buffers import _places, mix, slices, take, text_bytes
 
-#: Distinct pieces that one worker remembers; beyond that it starts afresh.
-CACHE = 1 << 21
+#: Distinct pieces that one worker remembers; beyond that it starts afresh. The worker keeps them while other stages run.
+CACHE = 1 << 19
+
+#: Pieces merged at once, as the library's results are many times as large as their ids.
+MERGE_PIECES = 2048
 
 #: Text bytes encoded at once; a longer single text is encoded alone.
 SLICE_BYTES = 1 << 20
@@ -224,7 +227,7 @@ class Encoder:
                 fresh[:] = True
             pick = first[fresh]
             pieces = [text[a : a + n] for a, n in zip(starts[pick].tolist(), sizes[pick].tolist(), strict=True)]
-            made = self.merge_all(pieces)
+            made = [ids for a in range(0, len(pieces), MERGE_PIECES) for ids in self.merge_all(pieces[a : a + MERGE_PIECES])]
             for i, a in enumerate(starts[pick].tolist()) if marked else ():
                 if a in marked:
                     made[i] = [marked[a]]

@@ -200,6 +200,16 @@ def test_tokens_match_the_library(spark, planted, planted_texts, empty):
     assert tokens.encode(empty, BPE).count() == 0
 
 
+def test_pieces_are_merged_a_few_at_a_time():
+    words, sizes = tokens.vocabulary(BPE), []
+    encoder = tokens.Encoder(lambda pieces: sizes.append(len(pieces)) or words.merge_all(pieces), words.special)
+    texts = [" ".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) for i in range(n, n + 3000)) for n in (0, 2000)]
+    ids, offsets = encoder.encode(pa.array(texts))
+    assert len(sizes) > 2 and max(sizes) <= 2048
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == tokens.own_encoder(BPE).encode(pa.array([text]))[0].tolist()
+
+
 def test_packing_is_a_partition_of_all_ids(planted, planted_texts, empty):
     from tokenizers import Tokenizer
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ SLICE_BYTES = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: The C library's call that hands free memory back; only glibc has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, 256, dtype=np.uint64)
 _PLACE = np.random.Generator(np.random.PCG64(20240502)).integers(0, 2**64, 1024, dtype=np.uint64) | np.uint64(1)
@@ -61,6 +65,23 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             first = last
 
 
+def give_back() -> None:
+    """Hand the memory that Arrow and the C library keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def trimmed(work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, after whose last batch a worker gives free memory back: it stays alive beside the JVM's own stages."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def word_spans(body: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the index of its first word (one more entry at the end)."""
     inside = np.zeros(len(body) + 2, dtype=bool)

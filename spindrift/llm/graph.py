@@ -12,6 +12,12 @@ from pyspark.sql.types import StructType
 
 from spindrift.session import cut_lineage
 
+from .buffers import give_back
+
+
+#: Shuffle partitions whose edges go to one file.
+FOLD = 8
+
 
 def bucket_count(df: DataFrame) -> int:
     """How many hash buckets to deal to: one for each shuffle partition of the session.
@@ -31,12 +37,24 @@ def bucket_cuts(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def by_group(df: DataFrame, key: str, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Apply ``work`` to all rows of each key."""
-    return df.groupBy(key).applyInArrow(lambda _key, table: work(table), schema)
+
+    def run(_key: tuple, table: pa.Table) -> pa.Table:
+        made = work(table)
+        give_back()
+        return made
+
+    return df.groupBy(key).applyInArrow(run, schema)
 
 
 def with_replies(df: DataFrame, replies: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """Apply ``work`` to the rows of each slot together with the packed replies for that slot."""
-    return df.groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(work, schema)
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        made = work(table, replies)
+        give_back()
+        return made
+
+    return df.groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(run, schema)
 
 
 def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -66,7 +84,7 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of the longest path. Only the number of edges and a checksum reach the driver.
     """
     directed = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    links, before = cut_lineage(directed), None
+    links, before = cut_lineage(directed, FOLD), None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
@@ -79,7 +97,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        links = cut_lineage(small)
+        links = cut_lineage(small, FOLD)
         state = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (state.n, state.x) == before:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from spindrift.session import cut_lineage
 
-from .buffers import slices, take
+from .buffers import slices, take, trimmed
 from .tokens import SLICE_BYTES, Encoder
 
 
@@ -155,7 +155,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024
             )
 
     plain = take(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return plain.mapInArrow(work, "part int, rank long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long")
+    return plain.mapInArrow(trimmed(work), "part int, rank long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long")
 
 
 def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, grai
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     ranked = pieces.join(counts.select("part", "length", before.alias("base")), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
-    return ranked.drop("part", "base").mapInArrow(work, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.drop("part", "base").mapInArrow(trimmed(work), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(tokens: DataFrame, plan: DataFrame, end_id: int = 0) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spindrift.session import cut_lineage
 
 from .buffers import take
+from .graph import FOLD
 
 #: The kinds in their listed order, what a match must hold, and the pattern. Possessive quantifiers and
 #: look-behinds keep the time linear; they change no match, as each class ends where the next one starts.
@@ -168,23 +169,22 @@ def trusted_patterns(seen: DataFrame, rounds: int, support: int, precision: floa
     scores the mean of its patterns; each different plain word of ``texts`` in a pattern's place scores zero. Trusted
     patterns reach ``precision`` and hold ``support`` different seeds; those with fewer seeds score zero.
     """
-    edges = cut_lineage(seen.groupBy("instance", "pattern").agg(F.min("rank").alias("rank")))
+    edges = cut_lineage(seen.groupBy("instance", "pattern").agg(F.min("rank").alias("rank")), FOLD)
     seeds = edges.where("rank is not null").groupBy("pattern", "rank").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    base = cut_lineage(seeds.join(sizes, "pattern"))
+    base = cut_lineage(seeds.join(sizes, "pattern"), FOLD)
     if texts is not None:
         words = plain_words(texts, base.where("pattern not like 'shape %'").select("pattern").distinct())
-        base = cut_lineage(base.join(words, "pattern", "left").select("pattern", "rank", "seeds", (F.col("n") + F.coalesce("plain", F.lit(0))).alias("n")))
+        base = cut_lineage(base.join(words, "pattern", "left").select("pattern", "rank", "seeds", (F.col("n") + F.coalesce("plain", F.lit(0))).alias("n")), FOLD)
     scores = base.select("pattern", "rank", "seeds", "n", (F.col("seeds") / F.col("n")).alias("score"))
     unknown = edges.where("rank is null").select("instance", "pattern")
     degree = unknown.groupBy("instance").agg(F.count("*").alias("degree"))
     for _ in range(rounds):
+        # Each round reads the one before once, so nothing is written between them.
         voted = unknown.join(scores.select("pattern", "rank", "score"), "pattern").groupBy("instance", "rank").agg(F.sum("score").alias("total"))
         held = voted.join(degree, "instance").select("instance", "rank", (F.col("total") / F.col("degree")).alias("held"))
         gained = unknown.join(held, "instance").groupBy("pattern", "rank").agg(F.sum("held").alias("gained"))
-        scores = cut_lineage(
-            base.join(gained, ["pattern", "rank"], "left").select("pattern", "rank", "seeds", "n", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("n")).alias("score"))
-        )
+        scores = base.join(gained, ["pattern", "rank"], "left").select("pattern", "rank", "seeds", "n", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("n")).alias("score"))
     return scores.where(F.col("score") >= precision).select("pattern", "rank")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spindrift.session import cut_lineage
 
-from .buffers import covered, mix, slices, span_hashes, sums, take, text_bytes, window_hashes, window_rows, word_spans
+from .buffers import covered, mix, slices, span_hashes, sums, take, text_bytes, trimmed, window_hashes, window_rows, word_spans
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -99,7 +99,7 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash
     plain = take(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     if hashed:
         plain = plain.withColumn("hash", F.xxhash64("text"))
-    return plain.mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in (*COUNTS, *more)))
+    return plain.mapInArrow(trimmed(work), "doc_id long, " + ", ".join(f"{c} long" for c in (*COUNTS, *more)))
 
 
 def features(batch: pa.RecordBatch) -> np.ndarray:
@@ -189,7 +189,7 @@ def _scored(rows: DataFrame, forest: Forest | None) -> DataFrame:
             score = forest.scores(features(batch)) if forest else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 6))], names)
 
-    return rows.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", score double")
+    return rows.mapInArrow(trimmed(work), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", score double")
 
 
 def calibrate(scores: list[tuple[float, int, int]], loss: float) -> float:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spindrift.session import cut_lineage
 
-from .buffers import mix, slices, take, text_bytes, unsigned, word_spans
+from .buffers import mix, slices, take, text_bytes, trimmed, unsigned, word_spans
 from .graph import bucket_count, bucket_cuts, by_group, components, local_components
 
 #: Candidate pairs verified at once inside a bucket.
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     plain = take(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     if hashed:
         plain = plain.withColumn("hash", F.xxhash64("text"))
-    return plain.mapInArrow(work, "doc_id long, fp long" + ", hash long" * hashed)
+    return plain.mapInArrow(trimmed(work), "doc_id long, fp long" + ", hash long" * hashed)
 
 
 def _deal(batches: Iterable[pa.RecordBatch], buckets: int, segments: int) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     in one segment up to one bit.
     """
     buckets, segments = bucket_count(fps), max_bits // 2 + 1
-    dealt = fps.mapInArrow(lambda batches: _deal(batches, buckets, segments), "bucket int, payload binary")
+    dealt = fps.mapInArrow(trimmed(lambda batches: _deal(batches, buckets, segments)), "bucket int, payload binary")
     return by_group(dealt, "bucket", lambda table: _links(table, max_bits), "a long, b long").distinct()
 
 

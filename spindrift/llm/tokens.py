@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import _places, mix, slices, take, text_bytes
+from .buffers import _places, mix, slices, take, text_bytes, trimmed
 
 #: Distinct pieces that one worker remembers; beyond that it starts afresh. The worker keeps them while other stages run.
 CACHE = 1 << 19
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], ["doc_id", "ids"])
 
-    return take(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(work, "doc_id long, ids array<int>")
+    return take(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(trimmed(work), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -312,4 +312,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                     texts = pa.array([x.decode("utf-8", "replace") for x in made.to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names)
 
-    return rows.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", decoded string")
+    return rows.mapInArrow(trimmed(work), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", decoded string")

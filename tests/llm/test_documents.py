@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from spindrift.llm import anchors, buffers, licenses, packing, pii, quality, simhash, suffixes, tokens
 from spindrift.llm.queries import BPE
+from spindrift.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string"
@@ -200,6 +201,46 @@ def test_tokens_match_the_library(spark, planted, planted_texts, empty):
     assert tokens.encode(empty, BPE).count() == 0
 
 
+def test_a_pass_over_texts_leaves_no_free_memory_behind():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Private_Dirty")) / 1024
+
+    kept = []
+
+    def work(batches):
+        for batch in batches:
+            made = [bytes(1000) for _ in range(200_000)]
+            kept.append(made[-1])
+            yield batch
+
+    batch = pa.record_batch({"text": pa.array(["x"])})
+    assert list(work([batch])) == [batch]
+    left = held()
+    assert list(buffers.trimmed(work)([batch])) == [batch]
+    assert held() < left - 100
+
+
+def test_scores_between_rounds_are_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(pii, "cut_lineage", lambda df, *fold: written.append(df) or cut_lineage(df, *fold))
+    seen = spark.createDataFrame([(f"s{i}", "p", 0) for i in range(8)] + [("new", "p", None)], "instance string, pattern string, rank int")
+    assert pii.trusted_patterns(seen, 6, 5, 0.8).count() == 1 and len(written) == 2
+
+
+def test_short_rows_go_to_few_files(spark):
+    rows = spark.range(1000).groupBy((F.col("id") % 500).alias("k")).count()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        few = cut_lineage(rows, 8)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(few.inputFiles()) <= 25 and few.agg(F.sum("count")).first()[0] == 1000
+
+
 def test_pieces_are_merged_a_few_at_a_time():
     words, sizes = tokens.vocabulary(BPE), []
     encoder = tokens.Encoder(lambda pieces: sizes.append(len(pieces)) or words.merge_all(pieces), words.special)

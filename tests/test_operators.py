@@ -470,6 +470,36 @@ def test_vocabulary_is_exact_whatever_the_sketch_merges(spark, monkeypatch):
             assert got == want
 
 
+def test_tfidf_counts_terms_without_a_row_for_each(spark):
+    texts = [(1, "red sky red sky"), (2, "red sky"), (1, "sky blue"), (None, "blue sky"), (None, "sky sky sky"), (3, None), (4, "the"), (5, "Émile émile ß9 ß9")]
+    docs = spark.createDataFrame(texts, "item_id bigint, text string")
+    vectors = tfidf.tfidf_vectors(docs, min_df=1, max_df=1.0)
+    assert "Generate" not in vectors._jdf.queryExecution().toString()
+    times, df = {}, {}
+    for key, text in texts:
+        words = [w for w in (text or "").lower().split() if w != "the"]
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        for t in terms:
+            times.setdefault(key, {}).setdefault(t, 0)
+            times[key][t] += 1
+        for t in set(terms):
+            df[t] = df.get(t, 0) + 1
+    got = {r.id: dict(zip(r.terms, r.val)) for r in vectors.collect()}
+    assert got.keys() == times.keys()
+    for key, own in times.items():
+        raw = {t: n * (np.log(9 / (1 + df[t])) + 1) for t, n in own.items()}
+        norm = np.sqrt(sum(w * w for w in raw.values()))
+        assert got[key] == pytest.approx({t: w / norm for t, w in raw.items()}) and list(got[key]) == sorted(own, key=str.encode)
+    assert tfidf.tfidf(docs.limit(0)).count() == 0
+
+
+def test_long_lists_of_words_are_cut(monkeypatch):
+    monkeypatch.setattr(tfidf, "SLICE_WORDS", 4)
+    lists = [["a"] * 3, None, ["b"], ["c"] * 9, [], ["d", "e"]]
+    parts = list(tfidf._slices([pa.record_batch({"words": pa.array(lists)})]))
+    assert [p.column(0).to_pylist() for p in parts] == [lists[:3], lists[3:4], lists[4:]]
+
+
 def test_gamma_draws_have_the_moments_of_the_distribution(spark):
     keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
     for shape in (1.0, 4.5, 300.0):

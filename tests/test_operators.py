@@ -533,6 +533,40 @@ def test_unseen_in_groups(spark):
     assert "Join" not in plan[: plan.index("Generate")]
 
 
+def test_unseen_candidates_are_the_whole_complement(spark):
+    items = spark.createDataFrame([(i,) for i in range(1, 6)], "item_id long")
+    rated = spark.createDataFrame([(7, 1), (7, 1), (8, 2), (8, 3), (9, 99)], "user_id long, item_id long")
+    users = spark.createDataFrame([(5,), (7,)], "user_id long")
+    seen = {(7, 1), (8, 2), (8, 3)}
+    for given, who in ((None, (7, 8, 9)), (users, (5, 7, 8, 9))):
+        found = ranking.unseen_in_groups(rated, items, users=given)
+        assert sorted(map(tuple, found.collect())) == [(u, i) for u in who for i in range(1, 6) if (u, i) not in seen]
+
+
+def test_unseen_candidates_query_leaves_no_pair_out(spark, tmp_path):
+    import duckdb
+
+    from spindrift.registry import load_all
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE ids AS SELECT unnest(range(1, 5)) AS k")
+    tables = {
+        "part": "SELECT k AS p_partkey, 'a b' AS p_name, 'TYPE' || k AS p_type, 'B' || k AS p_brand, 1 AS p_size, 1.0::DOUBLE AS p_retailprice FROM ids",
+        "customer": "SELECT k AS c_custkey, 'n' AS c_name, 0 AS c_nationkey, 1.0::DOUBLE AS c_acctbal, 's' AS c_mktsegment FROM ids",
+        "nation": "SELECT 0 AS n_nationkey, 'n' AS n_name, 0 AS n_regionkey",
+        "region": "SELECT 0 AS r_regionkey, 'r' AS r_name",
+        "orders": "SELECT k AS o_orderkey, k AS o_custkey, TIMESTAMP '1998-01-01' AS o_orderdate FROM ids WHERE k < 3",
+        "lineitem": "SELECT k AS l_orderkey, k AS l_partkey, 3.0::DOUBLE AS l_quantity FROM ids WHERE k < 3",
+    }
+    for name, sql in tables.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    queries, oracles = load_all()
+    got = sorted(map(tuple, queries["unseen_candidates"](spark, str(tmp_path)).collect()))
+    assert got == [(u, i) for u in range(1, 5) for i in range(1, 5) if u != i or u > 2]
+    assert got == sorted(con.execute(oracles["unseen_candidates"]).fetchall())
+
+
 def test_blocks_follow_the_filled_entries(spark, monkeypatch):
     def count(*_):
         return lambda left, right: pa.table({"left_id": pa.array([0]), "right_id": pa.array([left.num_rows]), "score": pa.array([float(right.num_rows)])})

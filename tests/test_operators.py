@@ -523,6 +523,23 @@ def test_unseen_lists_join_histories_before_block_ids(spark):
     assert "all#" not in plan[plan.index("Join LeftOuter") :].split("Aggregate")[0]
 
 
+def test_unseen_digests_are_those_of_the_lists(spark, monkeypatch):
+    users = spark.createDataFrame([(u,) for u in range(50)], "user_id long")
+    items = spark.createDataFrame([(i,) for i in range(-13, 130)], "item_id long")
+    rated = [(u, i) for u in range(60) for i in range(-13, 140) if (u * 7 + i * 5) % 11 == 0 and u % 5] + [(7, i) for i in range(40, 80)]
+    rated = spark.createDataFrame(rated, "user_id long, item_id long")
+    plain = {(r["user_id"], r["block"]): r["items"] for r in ranking.unseen_lists(users, items, rated, 40).collect()}
+    want = {k: (len(v), hashlib.md5(",".join(map(str, v)).encode()).hexdigest()) for k, v in plain.items()}
+    assert (7, 1) not in plain and plain[0, 0] == list(range(40)) and plain[0, -1] == list(range(-13, 0))
+    for few in (0, 4, 99):
+        monkeypatch.setattr(ranking, "FEW_SEEN", few)
+        found = ranking.unseen_lists(users, items, rated, 40, digest=True)
+        assert {(r["user_id"], r["block"]): (r["unseen"], r["items"]) for r in found.collect()} == want
+    # Blocks that a user has nothing of take the block's own digest: no digest is made above that join.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan[plan.index("explode") - 400 : plan.index("explode")]
+
+
 def test_unseen_in_groups(spark):
     items = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, None, "x"), (5, "b", "x")], "item_id long, genre string, category string")
     rated = spark.createDataFrame([(7, 1), (7, 1), (8, 2), (8, 3), (9, 4), (9, 99), (6, 5)], "user_id long, item_id long")

@@ -601,6 +601,35 @@ def test_factor_blocks_are_fewer_than_partitions(spark):
     assert count == 4 and blocks.count() == 4
 
 
+def test_svd_in_slices_leaves_its_factors_only(spark, monkeypatch):
+    import os
+
+    from spindrift import session
+
+    rng = np.random.default_rng(5)
+    held = rng.integers(1, 6, (40, 30)) * (rng.random((40, 30)) < 0.5)
+    ratings = spark.createDataFrame([(int(u) * 3, int(i) - 9, float(held[u, i])) for u, i in zip(*np.nonzero(held))], "user_id long, item_id long, rating double")
+    written = []
+
+    def noted(df, *args, **options):
+        out = session.cut_lineage(df, *args, **options)
+        written.append(out.stage_path)
+        return out
+
+    monkeypatch.setattr(factors, "cut_lineage", noted)
+    whole = factors.svd_train(ratings, k=6, iterations=8, oversample=20)
+    monkeypatch.setattr(factors, "SLICE_BYTES", 1)
+    first = len(written)
+    sliced = factors.svd_train(ratings, k=6, iterations=8, oversample=20)
+    assert len(written) - first > 2 * first - 10, "26 columns are multiplied in three slices"
+    assert sum(os.path.exists(p.removeprefix("file:")) for p in written) == 2 * (2 + 2), "both factor tables and both tables of ids"
+    want = np.linalg.svd(held.astype(float))[1][:6]
+    assert whole.singular_values == pytest.approx(want, rel=1e-6) and sliced.singular_values == pytest.approx(want, rel=1e-6)
+    assert whole.explained_variance == pytest.approx(sliced.explained_variance)
+    a, b = ({r["id"]: np.abs(r["val"]) for r in m.items.collect()} for m in (whole, sliced))
+    assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], atol=1e-5) for i in a)
+
+
 def test_factor_tables_are_written(spark):
     ratings = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(12) for i in range(9)], "user_id long, item_id long, rating double")
     model = factors.als_train(ratings, rank=2, iterations=1)

@@ -630,6 +630,22 @@ def test_svd_in_slices_leaves_its_factors_only(spark, monkeypatch):
     assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], atol=1e-5) for i in a)
 
 
+def test_packed_cells_come_one_block_at_a_time():
+    import pandas as pd
+
+    from spindrift.operators import similarity
+
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame([(u, int(i), float(u + i)) for u in range(20) for i in np.sort(rng.choice(24, 8, replace=False))], columns=["user_id", "item_id", "rating"])
+    parts = list(similarity._packed_cells(6)(iter([rows])))
+    assert [p["cell_a"].unique().tolist() for p in parts] == [[b] for b in range(6)]
+    got = pd.concat(similarity._unpacked_cells(iter(parts)))
+    for (a, b), cell in got.groupby(["cell_a", "cell_b"]):
+        both = set(rows[rows["item_id"] % 6 == a]["user_id"]) & set(rows[rows["item_id"] % 6 == b]["user_id"])
+        want = rows[rows["user_id"].isin(both) & (rows["item_id"] % 6).isin([a, b])]
+        assert sorted(zip(cell["item_id"], cell["rating"])) == sorted(zip(want["item_id"], want["rating"]))
+
+
 def test_factor_tables_are_written(spark):
     ratings = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(12) for i in range(9)], "user_id long, item_id long, rating double")
     model = factors.als_train(ratings, rank=2, iterations=1)
